@@ -8,8 +8,12 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of the public tokenizer files; ``tokenizer_path`` looks there unless told otherwise.
+TOKENIZERS = "public_tokenizers"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -22,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = getattr(spark, "_spindrift_shared", None)
     if current is None:
-        current = tempfile.mkdtemp(prefix="spindrift-")
+        current = tempfile.mkdtemp(prefix="spark-spindrift-")
         atexit.register(shutil.rmtree, current, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{current}")
         spark._spindrift_shared = current
@@ -40,7 +44,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,3 +58,29 @@ def executors_can_import(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies, on whichever machine this runs."""
+    import importlib
+
+    return importlib.import_module(TOKENIZERS).path(name)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20):
+    """The batch in runs of rows whose texts have about ``most_bytes`` together; one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    low, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and held + size > most_bytes:
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += size
+    if low < len(sizes):
+        yield batch.slice(low)

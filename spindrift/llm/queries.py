@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.token_counts import op10_token_counts
+from spindrift.llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
     "op10_token_counts": op10_token_counts,
 }
 

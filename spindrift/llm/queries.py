@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.packing import op1_best_fit_packing
+from spindrift.llm.sharding import op2_sharding
 from spindrift.llm.token_counts import op10_token_counts
 from spindrift.llm.token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_sharding": op2_sharding,
     "op4_token_files": op4_token_files,
     "op10_token_counts": op10_token_counts,
 }

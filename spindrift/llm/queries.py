@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.packing import op1_best_fit_packing
+from spindrift.llm import quality
+from spindrift.llm.quality import op7_quality_rules
 from spindrift.llm.sharding import op2_sharding
 from spindrift.llm.token_counts import op10_token_counts
 from spindrift.llm.token_files import op4_token_files
@@ -15,7 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
     "op4_token_files": op4_token_files,
+    "op7_quality_rules": op7_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality.ORACLE_SQL,
+}

@@ -12,12 +12,14 @@ from spindrift.llm.quality import op7_quality_rules
 from spindrift.llm.sharding import op2_sharding
 from spindrift.llm.token_counts import op10_token_counts
 from spindrift.llm.token_files import op4_token_files
+from spindrift.llm.url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
     "op4_token_files": op4_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_url_filter": op8_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm.packing import op1_best_fit_packing
 from spindrift.llm import quality
+from spindrift.llm.html_text import op9_html_extraction
+from spindrift.llm.packing import op1_best_fit_packing
 from spindrift.llm.quality import op7_quality_rules
 from spindrift.llm.sharding import op2_sharding
 from spindrift.llm.token_counts import op10_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import quality
 from spindrift.llm.html_text import op9_html_extraction
+from spindrift.llm.near_dup import op6_near_dedup
 from spindrift.llm.packing import op1_best_fit_packing
 from spindrift.llm.quality import op7_quality_rules
 from spindrift.llm.sharding import op2_sharding
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
     "op4_token_files": op4_token_files,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_html_extraction": op9_html_extraction,

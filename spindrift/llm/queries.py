@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import quality
+from spindrift.llm.decontaminate import op3_decontamination
 from spindrift.llm.html_text import op9_html_extraction
 from spindrift.llm.near_dup import op6_near_dedup
 from spindrift.llm.packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ from spindrift.llm.url_filter import op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import quality
+from spindrift.llm.chat import op5_chat_formatting
 from spindrift.llm.decontaminate import op3_decontamination
 from spindrift.llm.html_text import op9_html_extraction
 from spindrift.llm.near_dup import op6_near_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,

@@ -1,4 +1,4 @@
-"""Every query of the library by name, and the same in SQL."""
+"""Every query of the library by name, and the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from spindrift.plans import events
 
-ORACLE_SQL: dict[str, str] = {}
+_PLANS = [events]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

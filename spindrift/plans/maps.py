@@ -51,7 +51,7 @@ def ratemap_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratemap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two covariates; smoothing goes over bins with enough occupancy only."""
     frames = _frames(spark, sf_dir).dropna(subset=["bin", "by"])
-    rates = maps.rate_map(frames.where("session = 'R' AND unit < 4"), maps.occupancy(frames, ["bin", "by"], FRAME_S), ["unit"], ["bin", "by"])
+    rates = maps.rate_map(frames.where("session = 'R'"), maps.occupancy(frames, ["bin", "by"], FRAME_S), ["unit"], ["bin", "by"])
     rates = rates.withColumn("raw", F.when(F.col("occ") < LEAST_OCC, 0.0).otherwise(F.col("raw")))
     found = maps.smooth(rates, ["unit"], ["bin", "by"], [1.15, 1.15], min_occ=LEAST_OCC)
     return found.select("unit", "bin", "by", F.round("raw", 5).alias("raw"), F.round("smoothed", 5).alias("smoothed"))
@@ -60,7 +60,7 @@ def ratemap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spatial_map_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map over quantity and discount whose second axis wraps."""
     frames = _frames(spark, sf_dir).dropna(subset=["bin", "bd"])
-    rates = maps.rate_map(frames.where("session = 'R' AND unit < 4"), maps.occupancy(frames, ["bin", "bd"], FRAME_S), ["unit"], ["bin", "bd"])
+    rates = maps.rate_map(frames.where("session = 'R'"), maps.occupancy(frames, ["bin", "bd"], FRAME_S), ["unit"], ["bin", "bd"])
     found = maps.smooth(rates, ["unit"], ["bin", "bd"], [1.0, 2.0], min_occ=LEAST_OCC, periods={"bd": 11})
     return found.select("unit", "bin", "bd", F.round("smoothed", 5).alias("smoothed"))
 
@@ -111,8 +111,8 @@ def _hour_of_day(us):
 
 
 def _shuffled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Counts by hour of the day of the twelve first units: as they are, and mean and std over shifted copies."""
-    rows = spikes(spark, sf_dir).where("unit <= 12")
+    """Counts by hour of the day of all units: as they are, and mean and std over shifted copies."""
+    rows = spikes(spark, sf_dir)
     real = rows.groupBy("unit", _hour_of_day(F.col("us")).alias("bin")).agg(F.count("*").alias("n"))
     grid = rows.select("unit").distinct().crossJoin(F.broadcast(spark.range(_BINS).select(F.col("id").cast("int").alias("bin"))))
     lags = shifts(spark, _SHUFFLES, 2 * _HOUR, 22 * _HOUR)
@@ -197,13 +197,13 @@ m AS (SELECT u.unit, o.bin, occ, coalesce(n, 0) / occ AS raw FROM (SELECT DISTIN
 def _map2(a: str, b: str, zero: bool) -> str:
     raw = f"CASE WHEN occ < {LEAST_OCC} THEN 0.0 ELSE coalesce(n, 0) / occ END" if zero else "coalesce(n, 0) / occ"
     return f"""{_F}, g AS (SELECT * FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL), o AS (SELECT {a} AS p, {b} AS s, count(*) * 0.1::DOUBLE AS occ FROM g GROUP BY ALL),
-c AS (SELECT unit, {a} AS p, {b} AS s, count(*) AS n FROM g WHERE session = 'R' AND unit < 4 GROUP BY ALL),
+c AS (SELECT unit, {a} AS p, {b} AS s, count(*) AS n FROM g WHERE session = 'R' GROUP BY ALL),
 m AS (SELECT u.unit, o.p, o.s, occ, {raw} AS raw FROM (SELECT DISTINCT unit FROM c) u CROSS JOIN o LEFT JOIN c ON c.unit = u.unit AND c.p = o.p AND c.s = o.s)"""
 
 
 def _sh_sql() -> str:
     u = "('0x' || substr(md5('shift|' || i), 1, 8))::BIGINT / 4294967296.0"
-    return f"""e AS (SELECT user_id AS unit, epoch_us(ts) - 1704067200000000 AS us FROM events WHERE user_id <= 12),
+    return f"""e AS (SELECT user_id AS unit, epoch_us(ts) - 1704067200000000 AS us FROM events),
     lags AS (SELECT i AS k, ({2 * _HOUR} + floor({u} * {20 * _HOUR}))::BIGINT AS lag FROM range({_SHUFFLES}) r(i)), units AS (SELECT DISTINCT unit FROM e),
     moved AS (SELECT unit, k, floor((us + lag) % {24 * _HOUR} / {_HOUR})::INT AS bin, count(*) AS n FROM e CROSS JOIN lags GROUP BY ALL),
     cells AS (SELECT units.unit, i::INT AS bin, lags.k, coalesce(moved.n, 0) AS n FROM units CROSS JOIN range({_BINS}) r(i) CROSS JOIN lags LEFT JOIN moved ON moved.unit = units.unit AND moved.bin = i AND moved.k = lags.k)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,18 @@ from pyspark.sql import functions as F
 ORIGIN = "2024-01-01 00:00:00"
 
 
+def workers_can_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed (a plain checkout)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """A table's chosen columns (all without any); NaN becomes null."""
+    workers_can_import(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     df = df.select(*columns) if columns else df
     floats = [c for c, kind in df.dtypes if kind in ("double", "float")]

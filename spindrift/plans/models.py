@@ -83,7 +83,7 @@ FEATURES = ["hour", "level", "weekday"]
 
 
 def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by covariates and fold, all units of a class of ten taken together as one."""
+    """Counts by covariates and fold; all units are pooled into four."""
     return regression.design_counts(regression.assign_folds(_unit_hours(spark, sf_dir)).withColumn("unit", F.col("unit") % 4), FEATURES)
 
 

@@ -243,4 +243,19 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
-    return read_back(settle(format_conversations(conversations.unionByName(added)), "chat"))
+    return read_back(settle(format_conversations(conversations.unionByName(added)), "chat")).drop("n_tokens", "loss_tokens")
+
+
+_FOUND = r"[<\[]\\*(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|<ROLE>>|<TEXT>>|</ROLE>>|\|endoftext\|>)"
+ORACLE_SQL = rf"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '{_FOUND}')) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+        ELSE 25 + length(role) + len(regexp_extract_all(role, '{_FOUND}')) END AS size FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

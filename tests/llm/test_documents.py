@@ -42,8 +42,9 @@ def test_shards_hold_every_row_once(spark, tmp_path):
     assert empty.count() == 0
 
 
-def test_quality_equals_sql(spark, sf_dir):
-    assert difference(queries.QUERIES["op7_quality_rules"](spark, sf_dir), oracle(sf_dir), quality.ORACLE_SQL) is None
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_sql(spark, sf_dir, name):
+    assert difference(queries.QUERIES[name](spark, sf_dir), oracle(sf_dir), queries.ORACLE_SQL[name]) is None
 
 
 def test_quality_edges(spark):

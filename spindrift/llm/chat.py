@@ -199,7 +199,10 @@ def read_back(segments: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                # one row at a time: lists of Python numbers take many times an Arrow array's memory
+                row = {name: batch.column(name)[i].as_py() for name in ("conv_id", "text")}
+                row |= {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in ("starts", "ends", "loss_mask")}
                 if now is None or now["conv_id"] != row["conv_id"]:
                     if now:
                         done.append(_closed(now))
@@ -210,18 +213,18 @@ def read_back(segments: DataFrame) -> DataFrame:
                     now["counts"][0] += 1
                     if role == "assistant" and end > start:
                         spans.append((start, end))
-                for text in masked_texts(row["text"], row["starts"], row["ends"], row["loss_mask"], spans):
+                for text in masked_texts(row["text"], row["starts"].tolist(), row["ends"].tolist(), row["loss_mask"].tolist(), spans):
                     now["loss"].update(text.encode("utf-8", "surrogatepass"))
                     now["counts"][1] += len(text)
-                for i, n in ((2, len(row["text"])), (3, len(row["ids"])), (4, sum(row["loss_mask"]))):
-                    now["counts"][i] += n
+                for k, n in ((2, len(row["text"])), (3, len(row["starts"])), (4, int(row["loss_mask"].sum()))):
+                    now["counts"][k] += n
             if done:
                 yield pa.RecordBatch.from_pylist(done, _DIGEST)
                 done = []
         if now:
             yield pa.RecordBatch.from_pylist([*done, _closed(now)], _DIGEST)
 
-    return _by_conversation(segments.select("conv_id", "segment", "text", "ids", "starts", "ends", "loss_mask"), "segment").mapInArrow(
+    return _by_conversation(segments.select("conv_id", "segment", "text", "starts", "ends", "loss_mask"), "segment").mapInArrow(
         digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
     )
 

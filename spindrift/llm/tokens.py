@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct words whose ids a worker keeps; when full, the memory starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 #: UTF-8 bytes of text that are encoded at once; longer texts are cut at safe places.
 TEXT_BYTES = 8 << 20
 
@@ -34,6 +34,8 @@ _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L
 _IRREGULAR = f"(^|[{_WHITE}]) | ([{_WHITE}]|$)"  # a space beside white space or at an end
 _BYTE_CUT = re.compile(f"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
 _WORD_CUT = re.compile("[ \t\n\r]+")
+#: Marks that form one piece behind a word; an apostrophe may begin another.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters on which this module's and the library's pattern engines surely agree.
 _PLAIN = re.compile("[\n -~À-ɏ]*").fullmatch
 
@@ -56,30 +58,12 @@ def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at]
 
 
-class _Words(dict):
-    """Word -> number of its ids' place in ``store``."""
-
-    def __init__(self, encode, store: _Store) -> None:
-        super().__init__()
-        self._encode, self._store = encode, store
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = self._store.add(self._encode(word))
-        return at
-
-
 class _Store:
     """Lists of ids, one behind the other."""
 
     def __init__(self) -> None:
         self.ids, self.starts, self.lengths = array("I"), array("i"), array("i")
 
-    def add(self, ids: list[int]) -> int:
-        self.starts.append(len(self.ids))
-        self.lengths.append(len(ids))
-        self.ids.extend(ids)
-        return len(self.starts) - 1
-
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.frombuffer(self.lengths, np.int32)[numbers]
         starts = np.frombuffer(self.starts, np.int32)[numbers]
@@ -104,24 +88,46 @@ class TextEncoder:
     def _start_anew(self) -> None:
         self._store = _Store()
         self._pieces: dict[str, list[int]] = {}
-        self._after_space = _Words(lambda word: self._encode_word(" " + word if self.kind == "byte" else word), self._store)
-        self._as_is = _Words(self._encode_word, self._store)
-
-    def _encode_word(self, word: str) -> list[int]:
-        if not _PLAIN(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if self.kind == "byte":
-            pieces = _BYTE_PIECES.findall(word)
-        else:
-            pieces = _WORD_PIECES.findall(word.lower())
-        ids: list[int] = []
-        for piece in pieces:
-            known = self._pieces.get(piece)
-            if known is None:
-                letters = piece.encode().decode("latin-1").translate(_ALPHABET)
-                self._pieces[piece] = known = [token.id for token in self._model.tokenize(letters)]
-            ids += known
-        return ids
+        # word -> number of its ids' place in the store; the first knows words without the space before them
+        self._after_space: dict[str, int] = {}
+        self._as_is: dict[str, int] = {}
+
+    def _numbers(self, words: list[str], known: dict[str, int], before: str = "") -> list[int]:
+        """Numbers of the words in the store; those that ``known`` lacks are encoded, ``before`` being put before them."""
+        found = list(map(known.get, words))
+        ids, starts, lengths, pieces = self._store.ids, self._store.starts, self._store.lengths, self._pieces
+        lower = self.kind == "word"
+        for i, number in enumerate(found):
+            if number is None:
+                word = words[i]
+                if (number := known.get(word)) is None:
+                    text = before + (word.lower() if lower else word)
+                    core = text.rstrip(_TAIL)
+                    start = len(ids)
+                    # the usual word: letters, then perhaps marks
+                    if core[core[:1] == " " :].isalpha() and (text.isascii() or (_PLAIN(text) and _PLAIN(word))):
+                        for piece in (core, text[len(core) :]) if len(core) < len(text) else (core,):
+                            if (made := pieces.get(piece)) is None:
+                                made = self._encode_piece(piece)
+                            ids.extend(made)
+                    else:
+                        ids.extend(self._encode_text(before + word))
+                    known[word] = number = len(starts)
+                    starts.append(start)
+                    lengths.append(len(ids) - start)
+                found[i] = number
+        return found
+
+    def _encode_piece(self, piece: str) -> list[int]:
+        letters = piece.encode().decode("latin-1").translate(_ALPHABET)
+        self._pieces[piece] = made = [token.id for token in self._model.tokenize(letters)]
+        return made
+
+    def _encode_text(self, text: str) -> list[int]:
+        if not _PLAIN(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = _BYTE_PIECES.findall(text) if self.kind == "byte" else _WORD_PIECES.findall(text.lower())
+        return [i for piece in pieces for i in (self._pieces.get(piece) or self._encode_piece(piece))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and the last one's end; null is the empty text."""
@@ -168,7 +174,7 @@ class TextEncoder:
         numbers: list[int] = []
         sizes = []
         for chunks in texts:
-            numbers += map(self._as_is.__getitem__, chunks)
+            numbers += self._numbers(chunks, self._as_is)
             sizes.append(len(chunks))
         ids, lengths = self._store.gather(np.array(numbers, np.int64))
         return ids, _sums(lengths, np.cumsum([0, *sizes]))
@@ -184,11 +190,11 @@ class TextEncoder:
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
         known = words.dictionary.to_pylist()
-        numbers = np.fromiter(map(self._after_space.__getitem__, known), np.int32, len(known))[words.indices.to_numpy()]
+        numbers = np.array(self._numbers(known, self._after_space, " " if self.kind == "byte" else ""), np.int32)[words.indices.to_numpy()]
         if self.kind == "byte":
             firsts = bounds[:-1]
             at = words.indices.to_numpy()[firsts]
-            numbers[firsts] = [self._as_is[known[i]] for i in at]
+            numbers[firsts] = self._numbers([known[i] for i in at], self._as_is)
         ids, lengths = self._store.gather(numbers)
         return ids, _sums(lengths, bounds)
 

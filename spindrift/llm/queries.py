@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import chat, quality
+from spindrift.llm import chat, near_dup, quality
 from spindrift.llm.chat import op5_chat_formatting
 from spindrift.llm.decontaminate import op3_decontamination
 from spindrift.llm.html_text import op9_html_extraction
@@ -33,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": chat.ORACLE_SQL,
+    "op6_near_dedup": near_dup.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
 }

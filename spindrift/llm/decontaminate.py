@@ -151,14 +151,22 @@ def _item(walk: list) -> int:
 
 
 def term_numbers(texts: pa.Array, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each word's term in the index, -1 if it has none; and where each text's words begin."""
+    """Number of each word's term in the index, -1 if it has none; and where each text's words begin.
+
+    Words without letters and digits are left out, as they are of the items.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.utf8_split_whitespace(texts)
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     words = lists.flatten().dictionary_encode()
+    compared = [plain(w) for w in words.dictionary.to_pylist()]
     known = index.terms.get
-    numbers = np.fromiter((known(plain(w), -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-    return (numbers[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)), bounds
+    numbers = np.fromiter((known(w, -1) if w else -2 for w in compared), np.int64, len(compared))
+    numbers = numbers[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+    kept = numbers > -2
+    before = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(kept, out=before[1:])
+    return numbers[kept], before[bounds]
 
 
 def leaks(texts: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, float, float, float]]:

@@ -177,3 +177,20 @@ def test_pipeline_equals_its_stages_in_brute_force(spark, sf_dir):
     for r in got:
         held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
     assert max(held.values()) <= 1024
+
+
+def test_copies_with_marks_that_stand_alone_are_found():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    short, sums = "If x + y = 7 , name x .", "If x + y = 7 and x - y = 3 , what is x ? The answer is : x = 5 ."
+    dashed = " ".join(w for word in some_text(rng, 24).split() for w in (word, "-")) + ". " + some_text(rng, 6) + "."
+    items = [(1, short), (2, sums), (3, dashed), (4, some_text(rng, 20) + ". " + some_text(rng, 5) + ".")]
+    index = decontaminate.ItemIndex(items)
+    texts = [some_text(rng, lead) + " " + text + " " + some_text(rng, 60) for _, text in items for lead in (0, 7, 33, 50)]
+    texts += [some_text(rng, 40) + " " + " – ".join(items[3][1].split()) + " " + some_text(rng, 40), "- + =", "", None, some_text(rng, 90)]
+    norm = lambda t: " " + " ".join(decontaminate.plain_words(t or "")) + " "
+    wanted = {(row, i) for row, t in enumerate(texts) for i, (_, q) in enumerate(items) if norm(q) in norm(t)}
+    found = {(row, item) for row, item, *_ in decontaminate.leaks(pa.array(texts), index)}
+    assert wanted <= found and {(4 * i + k, i) for i in range(4) for k in range(4)} | {(16, 3)} <= wanted
+    assert not {row for row, _ in found} & {17, 18, 19, 20}

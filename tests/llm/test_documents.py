@@ -194,3 +194,32 @@ def test_copies_with_marks_that_stand_alone_are_found():
     found = {(row, item) for row, item, *_ in decontaminate.leaks(pa.array(texts), index)}
     assert wanted <= found and {(4 * i + k, i) for i in range(4) for k in range(4)} | {(16, 3)} <= wanted
     assert not {row for row, _ in found} & {17, 18, 19, 20}
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    rng = random.Random(21)
+    base = [some_text(rng, 60).split() for _ in range(12)]
+    rows = []
+    for k, words in enumerate(base):
+        near = list(words)
+        near[30] = "elsewhere"
+        rows += [((7, None)[k % 2], " ".join(words)), ((None, 7, 100 + k)[k % 3], " ".join(near))]
+    rows += [rows[0]] * 3 + [rows[1]] * 2 + [(None, None), (None, None), (7, " "), (7, " ")]
+    components = brute_components([(n, t) for n, (_, t) in enumerate(rows)])
+    docs = frame(spark, rows).repartition(3)
+    with_keys = docs.withColumn("row_key", near_dup._row_key())
+    classes = with_keys.where("length(text) > 1").groupBy("text").agg({"row_key": "min"}).toDF("cls", "rep")
+    texts = near_dup._texts_of(classes.select("cls"), classes, with_keys.dropDuplicates(["row_key"])).collect()
+    assert sorted(r.cls for r in texts) == sorted(r.text for r in texts) == sorted({t for _, t in rows if t and t.strip()})
+    kept = near_dup.keep_representatives(docs).collect()
+    place = {t: components[n][1] for n, (_, t) in enumerate(rows)}
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(place[t], []).append(i)
+    with_words = [r for r in kept if (r.text or "").strip()]
+    assert sorted(place[r.text] for r in with_words) == sorted({place[t] for _, t in rows if (t or "").strip()})
+    for r in with_words:
+        assert r.doc_id == min((i for i in ids[place[r.text]] if i is not None), default=None) and (r.doc_id, r.text) in rows
+    assert sorted((str(r.doc_id), r.text or "") for r in kept if not (r.text or "").strip()) == [("7", " "), ("7", " "), ("None", ""), ("None", "")]
+    judged = near_dup.near_duplicates(docs).collect()
+    assert len(judged) == len(rows) and len({r.cls for r in judged if r.cls}) == 24

@@ -83,8 +83,8 @@ FEATURES = ["hour", "level", "weekday"]
 
 
 def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by covariates and fold; all units are pooled into four."""
-    return regression.design_counts(regression.assign_folds(_unit_hours(spark, sf_dir)).withColumn("unit", F.col("unit") % 4), FEATURES)
+    """Counts of each unit by covariates and fold."""
+    return regression.design_counts(regression.assign_folds(_unit_hours(spark, sf_dir)), FEATURES)
 
 
 def glm_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.bins import bin_of, frame_of, wrapped
 from spindrift.operators import geometry, joins, maps, pairs, regression, resampling, signal, windows
+from spindrift.plans import models
 from spindrift.sources import tables
 
 
@@ -176,6 +177,13 @@ def test_selection_finds_the_covariate_that_matters(spark):
     assert values(regression.forward_selection(counts, ["a", "b"]).where("chosen"), "layer", "model") == [(1, "a")]
 
 
+def test_models_are_fitted_for_each_unit(spark, sf_dir):
+    units = {r.user_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect()}
+    assert len(units) > 4
+    for query in (models.glm_cv, models.forward_selection, models.ablation):
+        assert {r.unit for r in query(spark, sf_dir).select("unit").collect()} == units
+
+
 def test_rotations_come_back(spark):
     angles = tuple(F.lit(v) for v in (0.3, -0.7, 1.1))
     back = spark.range(1).select(*geometry.euler_angles(geometry.euler_matrix(angles))).head()

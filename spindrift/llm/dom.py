@@ -9,9 +9,16 @@ from dataclasses import dataclass, field
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that only mark words; they are no nodes of their own.
-MARKS = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q s samp small strike strong sub sup time tt u var wbr".split())
+MARKS = frozenset(
+    "a abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q s samp small strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 #: Elements whose content isn't markup, and isn't shown.
-RAW = frozenset("script style template noscript iframe object svg math title textarea select canvas audio video".split())
+RAW = frozenset("script style template noscript iframe object svg annotation annotation-xml title textarea select canvas audio video".split())
+#: Foreign elements, which ``/>`` ends at once.
+FOREIGN = frozenset(("svg", "math"))
+#: Text outside all elements is judged as if it stood in one of these.
+TOP = "article"
 #: Elements that begin a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,7 +60,7 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = []  # open elements: tag, node (the nearest node for marks)
     block, links, node = 0, 0, -1
-    at, end = 0, len(source)
+    at, end = int(source.startswith("\ufeff")), len(source)
     while at < end:
         token = _TOKEN.match(source, at)
         at = token.end()
@@ -88,6 +95,8 @@ def parse(source: str) -> Page:
         if tag == "br":
             page.texts.append((node, block, " "))
             page.linked.append(False)
+        if tag in FOREIGN and token["attrs"].endswith("/"):
+            continue
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(source, at)
             at = close.end() if close else end
@@ -103,4 +112,17 @@ def parse(source: str) -> Page:
         elif tag not in VOID:
             links += tag == "a"
             stack.append((tag, node))
+    if any(node < 0 and not text.isspace() for node, _, text in page.texts):
+        _add_top(page)
     return page
+
+
+def _add_top(page: Page) -> None:
+    """A node for text outside all others: the root of a fragment, or one beside a whole page's elements."""
+    whole = "html" in page.tags or "body" in page.tags
+    shift, top = (0, len(page.tags)) if whole else (1, 0)
+    page.parents = [p + shift for p in page.parents]
+    page.tags.insert(top, TOP)
+    page.parents.insert(top, -1)
+    page.attributes.insert(top, {})
+    page.texts = [(node + shift if node >= 0 else top, block, text) for node, block, text in page.texts]

@@ -114,6 +114,23 @@ def test_page_edges(spark, trees):
     assert html_text.extract(rows.limit(0), trees).count() == 0
 
 
+def test_foreign_elements_and_text_outside_elements(trees):
+    def page(inside):
+        return f"<html><body><article><p>A first sentence of the text. {inside} It goes on.</p><p>Another one ends it.</p></article></body></html>"
+
+    def text(inside):
+        return f"A first sentence of the text. {inside} It goes on.\n\nAnother one ends it."
+
+    tail = "It goes on.\n\nAnother one ends it."
+    for closed in ('<svg width="1"/>', "<math/>", "<svg class='x' />", "<math />"):
+        assert html_text.main_texts([page(closed)], trees)[0].endswith(tail)
+    assert html_text.main_texts([page('<svg/> between <svg><text>gone</text></svg>')], trees)[0] == text("between")
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></semantics></math>"
+    assert html_text.main_texts([page(formula)], trees)[0] == text("E=mc2")
+    words = "The river rose in the night, and by morning the lower fields were under water. " * 3
+    assert html_text.main_texts(["Hello <b>x</b>", "\ufeff " + words + "<i>So it was.</i>"], trees) == ["Hello x", words + "So it was."]
+
+
 BITS = ["<", "s>", "</s>", "[INST]", "[", "INST]", "\\", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<<TEXT>>", "<</ROLE>>", "<|endoftext|>", " ", "\n", "é", "日", "x"]
 
 

@@ -32,8 +32,17 @@ def unit_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs of all units, numbered in order; one run's share of the pairs, their key cut apart again."""
-    units = spikes(spark, sf_dir).select("unit").distinct()
-    found = joins.numbered_pairs(units, "unit", 101, 300)
+    return keyed_pairs(spikes(spark, sf_dir).select("unit").distinct(), 101, 300)
+
+
+def unit_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of these pairs."""
+    return keyed_pairs(spikes(spark, sf_dir).select("unit").distinct())
+
+
+def keyed_pairs(units: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
+    """The pairs ``first..last`` of all unordered pairs, to the last one if None, with their key."""
+    found = joins.numbered_pairs(units, "unit", first, last or 2**62)
     key = F.concat_ws("-", "unit1", "unit2")
     return found.select("nth", key.alias("key"), F.split(key, "-")[0].cast("bigint").alias("first"), F.split(key, "-")[1].cast("bigint").alias("second"))
 
@@ -178,7 +187,7 @@ def zeros_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        common_units_three_sessions, unit_set_operations, unit_pairs, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
+        common_units_three_sessions, unit_set_operations, unit_pairs, unit_pairs_all, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
         wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split,
     )
 }
@@ -204,6 +213,9 @@ ORACLE_SQL = {
     "unit_pairs": """
         WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
         SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p WHERE nth BETWEEN 101 AND 300""",
+    "unit_pairs_all": """
+        WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
+        SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p""",
     "pair_attributes": """
         WITH g AS (SELECT l_partkey, l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
         SELECT l_partkey, l_suppkey, n, CASE WHEN q < 25 THEN l_partkey || '>' || l_suppkey ELSE l_suppkey || '>' || l_partkey END AS direction,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.bins import bin_of, frame_of, wrapped
 from spindrift.operators import geometry, joins, maps, pairs, regression, resampling, signal, windows
 from spindrift.plans import models
+from spindrift.plans import pairs as pair_plans
 from spindrift.sources import tables
 
 
@@ -177,6 +178,14 @@ def test_selection_finds_the_covariate_that_matters(spark):
     assert values(regression.forward_selection(counts, ["a", "b"]).where("chosen"), "layer", "model") == [(1, "a")]
 
 
+def test_all_pairs_and_slices_of_them(spark):
+    units = spark.createDataFrame([(u,) for u in (5, 2, 9, 4)], "unit long")
+    wanted = [(n, a, b) for n, (a, b) in enumerate([(2, 4), (2, 5), (2, 9), (4, 5), (4, 9), (5, 9)], 1)]
+    assert values(pair_plans.keyed_pairs(units), "nth", "first", "second") == wanted
+    assert values(pair_plans.keyed_pairs(units, 3, 5), "nth", "first", "second") == wanted[2:5]
+    assert pair_plans.keyed_pairs(units.where("unit = 2")).count() == 0
+
+
 def test_models_are_fitted_for_each_unit(spark, sf_dir):
     units = {r.user_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect()}
     assert len(units) > 4

@@ -12,9 +12,9 @@ from spindrift.sources.tables import load, spikes
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 
 
-def common_units_three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_kinds(rows: DataFrame) -> DataFrame:
     """Units by the sessions (kinds of event) that they fired in: in all three, in the middle one only, in the outer two only."""
-    rows = spikes(spark, sf_dir, "event_type").where("event_type IN ('signup', 'error', 'purchase') AND us < 5 * 86400000000L")
+    rows = rows.where("event_type IN ('signup', 'error', 'purchase')")
     kind = (
         F.when(F.size("sessions") == 3, "all").when(F.col("sessions") == F.array(F.lit("error")), "middle")
         .when((F.size("sessions") == 2) & ~F.array_contains("sessions", "error"), "outer").otherwise("other")
@@ -22,14 +22,33 @@ def common_units_three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.sessions_of(rows, "unit", "event_type").select("unit", kind.alias("kind"))
 
 
-def unit_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def common_units_three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of units by the first five days."""
+    return session_kinds(spikes(spark, sf_dir, "event_type").where("us < 5 * 86400000000L"))
+
+
+def common_units_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by all days."""
+    return session_kinds(spikes(spark, sf_dir, "event_type"))
+
+
+def session_sets(rows: DataFrame) -> DataFrame:
     """Intersection, difference and bag union of two sessions' units."""
-    rows = spikes(spark, sf_dir, "event_type").where("us < 3 * 86400000000L")
     a, b = (rows.where(F.col("event_type") == kind).select("unit").distinct() for kind in ("view", "click"))
     parts = [a.intersect(b).withColumn("op", F.lit("both")), a.exceptAll(b).withColumn("op", F.lit("first")), a.unionByName(b).groupBy("unit").agg(F.count("*").alias("n")).where("n = 2").select("unit", F.lit("twice").alias("op"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def unit_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations on the first three days."""
+    return session_sets(spikes(spark, sf_dir, "event_type").where("us < 3 * 86400000000L"))
+
+
+def unit_set_operations_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on all days."""
+    return session_sets(spikes(spark, sf_dir, "event_type"))
+
+
 def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs of all units, numbered in order; one run's share of the pairs, their key cut apart again."""
     return keyed_pairs(spikes(spark, sf_dir).select("unit").distinct(), 101, 300)
@@ -187,7 +206,7 @@ def zeros_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        common_units_three_sessions, unit_set_operations, unit_pairs, unit_pairs_all, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
+        common_units_three_sessions, common_units_all_days, unit_set_operations, unit_set_operations_all_days, unit_pairs, unit_pairs_all, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
         wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split,
     )
 }
@@ -213,6 +232,13 @@ ORACLE_SQL = {
     "unit_pairs": """
         WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
         SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p WHERE nth BETWEEN 101 AND 300""",
+    "common_units_all_days": f"""
+        WITH {_E}, s AS (SELECT unit, list_sort(list(DISTINCT event_type)) AS s FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY unit)
+        SELECT unit, CASE WHEN len(s) = 3 THEN 'all' WHEN s = ['error'] THEN 'middle' WHEN len(s) = 2 AND NOT list_contains(s, 'error') THEN 'outer' ELSE 'other' END AS kind FROM s""",
+    "unit_set_operations_all_days": f"""
+        WITH {_E}, a AS (SELECT DISTINCT unit FROM e WHERE event_type = 'view'), b AS (SELECT DISTINCT unit FROM e WHERE event_type = 'click')
+        SELECT unit, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT unit, 'first' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+        UNION ALL SELECT unit, 'twice' FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY unit HAVING count(*) = 2""",
     "unit_pairs_all": """
         WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
         SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p""",

@@ -186,6 +186,13 @@ def test_all_pairs_and_slices_of_them(spark):
     assert pair_plans.keyed_pairs(units.where("unit = 2")).count() == 0
 
 
+def test_units_are_classed_by_all_their_sessions(spark):
+    fired = {1: ["signup", "error", "purchase"], 2: ["error"], 3: ["signup", "purchase"], 4: ["signup", "error"], 5: ["view"], 6: ["view", "click"], 7: ["click"]}
+    rows = spark.createDataFrame([(u, kind, day * 86400000000) for u, kinds in fired.items() for day, kind in zip((0, 12, 29), kinds)], "unit long, event_type string, us long")
+    assert values(pair_plans.session_kinds(rows), "unit", "kind") == [(1, "all"), (2, "middle"), (3, "outer"), (4, "other")]
+    assert values(pair_plans.session_sets(rows), "unit", "op") == [(5, "first"), (6, "both"), (6, "twice")]
+
+
 def test_models_are_fitted_for_each_unit(spark, sf_dir):
     units = {r.user_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect()}
     assert len(units) > 4

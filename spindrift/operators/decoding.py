@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,32 +12,47 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.bins import ratio
 
-#: Query vectors that are sent to the tasks at once; more take further passes over the training rows.
-QUERY_ROWS = 20_000
+#: Vectors of each side that a task compares.
+BLOCK_ROWS = 4096
 
 
 def nearest(train: DataFrame, test: DataFrame, measure: str = "pearson") -> DataFrame:
     """For each row of ``test`` (id, v) the row of ``train`` (id, v, label) that is nearest: id, nearest, score, label.
 
     ``pearson``: the largest correlation across the vector's entries, -1 where a side is constant;
-    ``euclid``: the least distance. Ties take the lowest training id. Query vectors go out in
-    blocks; each task finds the best of its training rows for all of them by one matrix product,
-    and only these candidates are shuffled.
+    ``euclid``: the least distance. Ties take the lowest training id. Both sides are dealt to
+    blocks; a task compares a block of one side with a block of the other by a matrix product
+    and gives each test row's best of that block, of which the best is taken.
     """
-    found, part = None, []
-    for row in test.select("id", "v").orderBy("id").toLocalIterator():
-        part.append(row)
-        if len(part) == QUERY_ROWS:
-            found, part = _joined(found, _nearest(train, part, measure)), []
-    if part or found is None:
-        found = _joined(found, _nearest(train, part, measure))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "nearest", "label")) if measure == "pearson" else F.min(F.struct(F.col("score").alias("s"), "nearest", "label"))
-    score = -F.col("b.s") if measure == "pearson" else F.col("b.s")
-    return found.groupBy("id").agg(best.alias("b")).select("id", F.col("b.nearest").alias("nearest"), score.alias("score"), F.col("b.label").alias("label"))
-
-
-def _joined(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+    blocks_of = lambda rows: max(1, -(-rows.count() // BLOCK_ROWS))
+    n_train, n_test = blocks_of(train), blocks_of(test)
+
+    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return rows.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
+
+    known = dealt(train.select("id", "v", F.col("label").cast("int").alias("label"), F.lit(False).alias("asked")), "i", n_train, "j", n_test)
+    asked = dealt(test.select("id", "v", F.lit(None).cast("int").alias("label"), F.lit(True).alias("asked")), "j", n_test, "i", n_train)
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ask = table["asked"].to_numpy()
+        vectors = np.array(table["v"].to_pylist(), float).reshape(len(table), -1)
+        ids, labels, q, v = table["id"].to_numpy(), table["label"].to_numpy(zero_copy_only=False)[~ask], vectors[ask], vectors[~ask]
+        if not len(q) or not len(v):
+            return pa.table({name: pa.array([], kind) for name, kind in (("id", pa.int64()), ("nearest", pa.int64()), ("score", pa.float64()), ("label", pa.int32()))})
+        if measure == "pearson":
+            score = _standardised(q) @ _standardised(v).T
+            score = np.where(np.isnan(score), -1.0, score)
+            at = score.argmax(axis=1)
+        else:
+            score = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * q @ v.T + (v * v).sum(axis=1), 0))
+            at = score.argmin(axis=1)
+        label = pa.array([None if np.isnan(x) else int(x) for x in labels[at].astype(float)], pa.int32())
+        return pa.table({"id": pa.array(ids[ask], pa.int64()), "nearest": pa.array(ids[~ask][at], pa.int64()), "score": pa.array(score[np.arange(len(q)), at]), "label": label})
+
+    found = known.unionByName(asked).groupBy("i", "j").applyInArrow(best, "id bigint, nearest bigint, score double, label int")
+    signed = -F.col("score") if measure == "pearson" else F.col("score")
+    return found.groupBy("id").agg(F.min(F.struct(signed.alias("s"), "nearest", "label", "score")).alias("b")).select("id", F.col("b.nearest").alias("nearest"), F.col("b.score").alias("score"), F.col("b.label").alias("label"))
 
 
 def _standardised(v: np.ndarray) -> np.ndarray:
@@ -48,30 +61,6 @@ def _standardised(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
 
 
-def _nearest(train: DataFrame, queries: list, measure: str) -> DataFrame:
-    ids = np.array([q.id for q in queries], np.int64)
-    known = train.sparkSession.sparkContext.broadcast(np.array([q.v for q in queries], float).reshape(len(queries), -1))  # QUERY_ROWS at most
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = known.value
-        q = _standardised(q) if measure == "pearson" else q
-        for batch in batches:
-            if not len(batch) or not len(q):
-                continue
-            batch = batch.sort_values("id")
-            v = np.array(batch["v"].tolist(), float)
-            if measure == "pearson":
-                score = q @ _standardised(v).T
-                score = np.where(np.isnan(score), -1.0, score)
-                at = score.argmax(axis=1)
-            else:
-                score = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * q @ v.T + (v * v).sum(axis=1), 0))
-                at = score.argmin(axis=1)
-            yield pd.DataFrame({"id": ids, "nearest": batch["id"].to_numpy()[at], "score": score[np.arange(len(q)), at], "label": batch["label"].to_numpy()[at]})
-
-    return train.select("id", "v", "label").mapInPandas(best, "id bigint, nearest bigint, score double, label int")
-
-
 def accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return predicted.join(truth.select("id", F.col("label").alias("truth")), "id").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
 

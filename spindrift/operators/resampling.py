@@ -92,7 +92,8 @@ def swap_test(pairs: DataFrame, keys: list[str], test: str, ref: str, row_id: st
     true = d.groupBy(*keys).agg(F.avg("d").alias("true_diff"))
     coins = d.withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
     turned = coins.withColumn("d", F.when(md5_uniform(F.lit(salt), "shuffle_id", "row") < 0.5, -F.col("d")).otherwise(F.col("d")))
-    null = turned.groupBy(*keys, "shuffle_id").agg(F.avg("d").alias("m")).groupBy(*keys).agg(F.avg("m").alias("null_mean"), F.stddev_pop("m").alias("null_std"))
+    sums = turned.groupBy(*keys, "shuffle_id").agg(F.sum("d").alias("t"), F.count("*").alias("n"))  # of equal numbers of pairs
+    null = sums.groupBy(*keys).agg((F.sum("t") / F.sum("n")).alias("null_mean"), F.stddev_pop(F.col("t") / F.col("n")).alias("null_std"))
     found = true.join(null, keys) if keys else true.crossJoin(null)
     found = found.withColumn("z", ratio(F.col("true_diff") - F.col("null_mean"), F.col("null_std")))
     p = normal_tail(F.col("z"))

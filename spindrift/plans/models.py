@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.places import scratch
 from spindrift.operators import decoding, geometry, regression, signal, windows
 from spindrift.sources import tables
 from spindrift.sources.tables import load, spikes
@@ -18,17 +14,6 @@ from spindrift.streaming import counts
 HOUR = 3_600_000_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all machines share, or in a local temporary one where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(spark, "_spindrift_scratch", None)
-        if named is None:
-            named = spark._spindrift_scratch = tempfile.mkdtemp(prefix="spark-spindrift-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
 

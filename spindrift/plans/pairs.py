@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import md5_uniform
@@ -23,12 +23,7 @@ def session_kinds(rows: DataFrame) -> DataFrame:
 
 
 def common_units_three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of units by the first five days."""
-    return session_kinds(spikes(spark, sf_dir, "event_type").where("us < 5 * 86400000000L"))
-
-
-def common_units_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by all days."""
+    """Kinds of units by all days."""
     return session_kinds(spikes(spark, sf_dir, "event_type"))
 
 
@@ -40,28 +35,17 @@ def session_sets(rows: DataFrame) -> DataFrame:
 
 
 def unit_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set operations on the first three days."""
-    return session_sets(spikes(spark, sf_dir, "event_type").where("us < 3 * 86400000000L"))
-
-
-def unit_set_operations_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on all days."""
+    """Set operations on all days."""
     return session_sets(spikes(spark, sf_dir, "event_type"))
 
 
 def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unordered pairs of all units, numbered in order; one run's share of the pairs, their key cut apart again."""
-    return keyed_pairs(spikes(spark, sf_dir).select("unit").distinct(), 101, 300)
-
-
-def unit_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of these pairs."""
+    """Unordered pairs of all units, numbered in order, their key cut apart again."""
     return keyed_pairs(spikes(spark, sf_dir).select("unit").distinct())
 
-
 def keyed_pairs(units: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
     """The pairs ``first..last`` of all unordered pairs, to the last one if None, with their key."""
-    found = joins.numbered_pairs(units, "unit", first, last or 2**62)
+    found = joins.numbered_pairs(units, "unit", first, last)
     key = F.concat_ws("-", "unit1", "unit2")
     return found.select("nth", key.alias("key"), F.split(key, "-")[0].cast("bigint").alias("first"), F.split(key, "-")[1].cast("bigint").alias("second"))
 
@@ -119,9 +103,15 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order value of each customer in two conditions."""
-    orders = load(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_totalprice").where("o_orderstatus IN ('F', 'O')")
-    wide = orders.groupBy("o_custkey").agg(*(F.round(F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 2).alias(s) for s in ("F", "O")))
+    """Mean order value of each customer in two conditions, in whole cents: sums of whole numbers don't depend on their order."""
+    orders = load(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_totalprice").where("o_orderstatus IN ('F', 'O') AND o_totalprice IS NOT NULL")
+    orders = orders.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+
+    def mean(status: str) -> Column:
+        one = F.when(F.col("o_orderstatus") == status, F.col("cents"))
+        return F.when(F.count(one) > 0, F.floor((2 * F.sum(one) + F.count(one)) / (2 * F.count(one))).cast("double"))
+
+    wide = orders.groupBy("o_custkey").agg(*(mean(s).alias(s) for s in ("F", "O")))
     customer = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     return wide.where("F IS NOT NULL AND O IS NOT NULL").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "c_mktsegment", "F", "O")
 
@@ -146,9 +136,11 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n1", "n2", "u", F.round("z", 6).alias("z"), F.round("p", 5).alias("p"))
 
 
-def permutation_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resampling.swap_test(_by_status(spark, sf_dir), ["c_mktsegment"], "F", "O", "o_custkey", 40)
-    return found.select("c_mktsegment", F.round("true_diff", 3).alias("true_diff"), F.round("null_mean", 3).alias("null_mean"), F.round("null_std", 3).alias("null_std"), F.round("z", 5).alias("z"), F.round("p", 5).alias("p"))
+def permutation_swap(spark: SparkSession, sf_dir: str, shuffles: int = 1000) -> DataFrame:
+    """Differences in cents, given in tenths of a cent."""
+    found = resampling.swap_test(_by_status(spark, sf_dir), ["c_mktsegment"], "F", "O", "o_custkey", shuffles)
+    tenths = lambda c: (F.floor(F.col(c) * 10 + 0.5) / 1000).alias(c)
+    return found.select("c_mktsegment", tenths("true_diff"), tenths("null_mean"), F.round(F.col("null_std") / 100, 3).alias("null_std"), F.round("z", 5).alias("z"), F.round("p", 5).alias("p"))
 
 
 def shifted_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,14 +198,15 @@ def zeros_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        common_units_three_sessions, common_units_all_days, unit_set_operations, unit_set_operations_all_days, unit_pairs, unit_pairs_all, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
+        common_units_three_sessions, unit_set_operations, unit_pairs, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
         wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split,
     )
 }
 
 _E = "e AS (SELECT event_id, user_id AS unit, event_type, epoch_us(ts) - 1704067200000000 AS us FROM events)"
 _U = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0"
-_STATUS = """w AS (SELECT o_custkey, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS f, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY o_custkey),
+_STATUS = """k AS (SELECT o_custkey, o_orderstatus AS s, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice IS NOT NULL GROUP BY ALL),
+    w AS (SELECT o_custkey, max(((2 * c + n) // (2 * n))::DOUBLE) FILTER (s = 'F') AS f, max(((2 * c + n) // (2 * n))::DOUBLE) FILTER (s = 'O') AS o FROM k GROUP BY o_custkey),
     b AS (SELECT o_custkey, c_mktsegment, f, o FROM w JOIN customer ON c_custkey = o_custkey WHERE f IS NOT NULL AND o IS NOT NULL)"""
 _R = lambda x, y: f"round((count(*) * sum({x} * {y}) - sum({x}) * sum({y})) / sqrt((count(*) * sum({x} * {x}) - sum({x}) * sum({x})) * (count(*) * sum({y} * {y}) - sum({y}) * sum({y}))), 6)"
 _TAIL = lambda z: (
@@ -223,23 +216,13 @@ _RANK = lambda p, v: f"rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) O
 
 ORACLE_SQL = {
     "common_units_three_sessions": f"""
-        WITH {_E}, s AS (SELECT unit, list_sort(list(DISTINCT event_type)) AS s FROM e WHERE event_type IN ('signup', 'error', 'purchase') AND us < 432000000000 GROUP BY unit)
-        SELECT unit, CASE WHEN len(s) = 3 THEN 'all' WHEN s = ['error'] THEN 'middle' WHEN len(s) = 2 AND NOT list_contains(s, 'error') THEN 'outer' ELSE 'other' END AS kind FROM s""",
-    "unit_set_operations": f"""
-        WITH {_E}, a AS (SELECT DISTINCT unit FROM e WHERE event_type = 'view' AND us < 259200000000), b AS (SELECT DISTINCT unit FROM e WHERE event_type = 'click' AND us < 259200000000)
-        SELECT unit, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT unit, 'first' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
-        UNION ALL SELECT unit, 'twice' FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY unit HAVING count(*) = 2""",
-    "unit_pairs": """
-        WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
-        SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p WHERE nth BETWEEN 101 AND 300""",
-    "common_units_all_days": f"""
         WITH {_E}, s AS (SELECT unit, list_sort(list(DISTINCT event_type)) AS s FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY unit)
         SELECT unit, CASE WHEN len(s) = 3 THEN 'all' WHEN s = ['error'] THEN 'middle' WHEN len(s) = 2 AND NOT list_contains(s, 'error') THEN 'outer' ELSE 'other' END AS kind FROM s""",
-    "unit_set_operations_all_days": f"""
+    "unit_set_operations": f"""
         WITH {_E}, a AS (SELECT DISTINCT unit FROM e WHERE event_type = 'view'), b AS (SELECT DISTINCT unit FROM e WHERE event_type = 'click')
         SELECT unit, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT unit, 'first' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
         UNION ALL SELECT unit, 'twice' FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY unit HAVING count(*) = 2""",
-    "unit_pairs_all": """
+    "unit_pairs": """
         WITH t AS (SELECT DISTINCT user_id AS unit FROM events), p AS (SELECT a.unit AS u, b.unit AS v, row_number() OVER (ORDER BY a.unit, b.unit) AS nth FROM t a JOIN t b ON a.unit < b.unit)
         SELECT nth, u || '-' || v AS key, u AS first, v AS second FROM p""",
     "pair_attributes": """
@@ -259,11 +242,11 @@ ORACLE_SQL = {
         f AS (SELECT u.unit, i AS d, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT unit FROM c) u CROSS JOIN range(30) r(i) LEFT JOIN c ON c.unit = u.unit AND c.d = i)
         SELECT a.unit AS unit1, b.unit AS unit2, {_R('a.n', 'b.n')} AS r FROM f a JOIN f b ON a.d = b.d AND a.unit < b.unit GROUP BY ALL""",
     "pearson_conditions": f"WITH {_STATUS} SELECT c_mktsegment, count(*) AS n, {_R('f', 'o')} AS r FROM b GROUP BY c_mktsegment",
-    "spearman_stability": f"WITH {_STATUS}, k AS (SELECT c_mktsegment, {_RANK('c_mktsegment', 'f')} AS f, {_RANK('c_mktsegment', 'o')} AS o FROM b) SELECT c_mktsegment, count(*) AS n, {_R('f', 'o')} AS r FROM k GROUP BY c_mktsegment",
+    "spearman_stability": f"WITH {_STATUS}, m AS (SELECT c_mktsegment, {_RANK('c_mktsegment', 'f')} AS f, {_RANK('c_mktsegment', 'o')} AS o FROM b) SELECT c_mktsegment, count(*) AS n, {_R('f', 'o')} AS r FROM m GROUP BY c_mktsegment",
     "wilcoxon": f"""
-        WITH {_STATUS}, d AS (SELECT c_mktsegment, f - o AS d, abs(f - o) AS a FROM b WHERE f <> o), k AS (SELECT *, {_RANK('c_mktsegment', 'a')} AS r FROM d),
+        WITH {_STATUS}, d AS (SELECT c_mktsegment, f - o AS d, abs(f - o) AS a FROM b WHERE f <> o), m AS (SELECT *, {_RANK('c_mktsegment', 'a')} AS r FROM d),
         t AS (SELECT c_mktsegment, sum(pow(n, 3) - n) AS ties FROM (SELECT c_mktsegment, a, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1),
-        s AS (SELECT c_mktsegment, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM k GROUP BY 1),
+        s AS (SELECT c_mktsegment, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM m GROUP BY 1),
         z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM s JOIN t USING (c_mktsegment)), q AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
         SELECT c_mktsegment, n, w_plus, w_minus, round(z, 6) AS z, round(least(1.0, 2 * {_TAIL('abs(z)')}), 5) AS p FROM q""",
     "mann_whitney": f"""
@@ -275,10 +258,10 @@ ORACLE_SQL = {
         SELECT n1, n2, u, round(z, 6) AS z, round(least(1.0, 2 * {_TAIL('abs(z)')}), 5) AS p FROM q""",
     "permutation_swap": f"""
         WITH {_STATUS}, d AS (SELECT c_mktsegment, o_custkey, o - f AS d FROM b),
-        s AS (SELECT c_mktsegment, i, avg(CASE WHEN {_U("'swap|' || i || '|' || o_custkey")} < 0.5 THEN -d ELSE d END) AS m FROM d CROSS JOIN range(40) r(i) GROUP BY ALL),
-        n AS (SELECT c_mktsegment, avg(m) AS nm, stddev_pop(m) AS ns FROM s GROUP BY 1), a AS (SELECT c_mktsegment, avg(d) AS td FROM d GROUP BY 1),
+        s AS (SELECT c_mktsegment, i, sum(CASE WHEN {_U("'swap|' || i || '|' || o_custkey")} < 0.5 THEN -d ELSE d END) AS t, count(*) AS n FROM d CROSS JOIN range(1000) r(i) GROUP BY ALL),
+        n AS (SELECT c_mktsegment, sum(t) / sum(n) AS nm, stddev_pop(t / n) AS ns FROM s GROUP BY 1), a AS (SELECT c_mktsegment, avg(d) AS td FROM d GROUP BY 1),
         z AS (SELECT *, (td - nm) / ns AS z FROM a JOIN n USING (c_mktsegment)), q AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z), p AS (SELECT *, {_TAIL('z')} AS tail FROM q)
-        SELECT c_mktsegment, round(td, 3) AS true_diff, round(nm, 3) AS null_mean, round(ns, 3) AS null_std, round(z, 5) AS z, round(tail, 5) AS p FROM p""",
+        SELECT c_mktsegment, floor(td * 10 + 0.5) / 1000 AS true_diff, floor(nm * 10 + 0.5) / 1000 AS null_mean, round(ns / 100, 3) AS null_std, round(z, 5) AS z, round(tail, 5) AS p FROM p""",
     "shifted_trains": f"""
         WITH {_E}, l AS (SELECT i::INT AS shuffle_id, ({20 * HOUR} + floor({_U("'shift|' || i")} * {40 * HOUR}))::BIGINT AS lag_us FROM range(10) r(i))
         SELECT shuffle_id, lag_us, count(*) AS n, sum(us + lag_us)::BIGINT AS total FROM e CROSS JOIN l WHERE us + lag_us < {720 * HOUR} GROUP BY ALL""",

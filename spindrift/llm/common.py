@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +18,20 @@ TOKENIZERS = "public_tokenizers"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (a local test), a temporary folder is made, set as the
-    checkpoint folder, and removed when Python ends.
+    Only where a local session names neither (a test), a temporary folder is made and removed
+    when Python ends. On a cluster that is an error: each machine would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     current = getattr(spark, "_spindrift_shared", None)
     if current is None:
-        current = tempfile.mkdtemp(prefix="spark-spindrift-")
+        current = spark._spindrift_shared = tempfile.mkdtemp(prefix="spark-spindrift-")
         atexit.register(shutil.rmtree, current, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{current}")
-        spark._spindrift_shared = current
     return f"file://{current}"
 
 
@@ -71,7 +73,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20):
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it if ``df`` has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release_memory() -> None:
+    """Give what this process has freed back to the system: workers stay between tasks, beside others that need the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int, column: int | str = "text") -> Iterator[pa.RecordBatch]:
+    """All batches in slices of bounded texts; what a batch's slices took goes back to the system after it."""
+    for batch in batches:
+        yield from slices(batch, column, most_bytes)
+        release_memory()
+
+
+def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = 16 << 20):
     """The batch in runs of rows whose texts have about ``most_bytes`` together; one row at least."""
     import pyarrow.compute as pc
 

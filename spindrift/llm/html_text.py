@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.boosting import BoostedTrees
-from spindrift.llm.common import executors_can_import, slices
+from spindrift.llm.common import executors_can_import, text_slices
 from spindrift.llm.dom import Page, parse
 from spindrift.llm.training_pages import MARK, training_pages
 
@@ -149,8 +149,9 @@ def main_elements(page: Page) -> np.ndarray:
     return main
 
 
+@lru_cache(maxsize=2)
 def fit_trees(pages: int = TRAINING_PAGES, seed: int = SEED) -> BoostedTrees:
-    """Trees fitted on ``pages`` written pages; in these, main text carries a private-use mark."""
+    """Trees fitted on ``pages`` written pages; in these, main text carries a private-use mark. Fitted once in a process."""
     parsed = [parse(x) for x in training_pages(pages, seed)]
     labels = np.concatenate([main_elements(p) for p in parsed])
     for p in parsed:
@@ -174,19 +175,21 @@ def extract(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     ``text`` is empty if there is no main text; ``n_chars`` counts its code points. Pages are
-    taken whole. Null html counts as empty. Repeated and null page_ids are kept as they come.
+    taken whole. Null html counts as empty. Repeated and null page_ids are kept as they come;
+    other columns, whatever their names, are left out. An empty table gives an empty one.
+    Text outside all elements is judged as an article's. Content that no browser shows goes:
+    scripts, styles, templates, what stands in for frames and media, drawings, form controls.
     """
     spark = pages.sparkSession
     executors_can_import(spark)
     known = spark.sparkContext.broadcast(trees or fit_trees())  # its size is fixed by the trees' number and depth
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "html", 2 << 20):
-                texts = main_texts(part.column("html").to_pylist(), known.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
-                )
+        for part in text_slices(batches, 2 << 20, "html"):
+            texts = main_texts(part.column("html").to_pylist(), known.value)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
+            )
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(extracted, "page_id bigint, url string, text string, n_chars bigint")

@@ -137,6 +137,15 @@ class _Writer:
         head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
         return f"{head}<body>{''.join(parts)}" + ("</body></html>" if self.chance(0.9) else "")
 
+    def fragment(self) -> str:
+        """Main text alone, outside elements or in a few blocks, without a page around it."""
+        text = MARK + self.sentences(1, self.random.choice([1, 3, 12]))
+        if self.chance(0.5):
+            return text + self.random.choice(["", f" <b>{MARK}{self.words(1, 4)}</b>", f"<br>{MARK}<i>{self.words(1, 9)}</i>."])
+        return self.random.choice(["", f"<h1>{MARK}{self.words(1, 8)}</h1>"]) + "".join(self.main_block() for _ in range(self.random.randint(1, 6)))
+
 
 def training_pages(n: int, seed: int) -> list[str]:
-    return [_Writer(seed * 1_000_003 + i).page() for i in range(n)]
+    """``n`` pages, every twentieth of them a fragment."""
+    writers = [_Writer(seed * 1_000_003 + i) for i in range(n)]
+    return [writer.fragment() if i % 20 == 19 else writer.page() for i, writer in enumerate(writers)]

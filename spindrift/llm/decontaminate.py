@@ -8,10 +8,14 @@ are retrieved with block-max WAND (Ding and Suel, 2011): items stand in blocks,
 its largest weight overall and in each block, and only where those bounds reach the threshold is
 an item scored. Bounds are summed for all passages of a batch at once; what they leave is
 searched item by item. A retrieved item is then verified on the passage's words: word triples of
-its question, and words of its answer, must recur.
+its question and words of its answer must recur, or nearly all triples of both together.
+
+Words are runs of letters and digits in lower case, so spacing and marks, as in formulas, code and
+lists, make no difference; in scripts that are written without spaces each character is a word.
 
 A task needs the index of all items, so items come in passes of a bounded number, each of which
-reads the corpus once; a usual benchmark takes one pass. No step shuffles documents.
+reads the corpus once; a usual benchmark takes one pass. Document frequencies and lengths are
+those of all items, so a pass doesn't change a score. No step shuffles documents.
 """
 
 from __future__ import annotations
@@ -27,32 +31,48 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import executors_can_import, slices
+from spindrift.llm.common import executors_can_import, settle, text_slices
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight that a passage must have.
 MIN_SCORE = 0.5
 #: Shares of a question's word triples and of an answer's words that a passage must have.
 MIN_QUESTION, MIN_ANSWER = 0.5, 0.5
+#: Share of all word triples of an item that suffices alone, whatever became of its answer.
+MIN_WHOLE = 0.8
 #: Items with fewer words count only if all of both recur.
 SHORT_WORDS = 8
 BLOCK_ITEMS, PASS_ITEMS = 8, 20_000
-_MARKS = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
-
-
-def plain(word: str) -> str:
-    """A word as it is compared: lower case, letters and digits only."""
-    return word.lower() if word.isalnum() else _MARKS.sub("", word).lower()
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
+_SEPARATORS = r"[^\p{L}\p{N}\p{M}]+"
+#: Scripts without spaces between words.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, as a dictionary array; and where each text's words begin."""
+    texts = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), _SEPARATORS, " ")
+    if pc.any(pc.match_substring_regex(texts, _UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, _UNSPACED, r" \1 ")
+    lists = pc.split_pattern(texts, " ")
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = lists.flatten()
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.zeros(len(some) + 1, np.int64)
+    np.cumsum(some, out=before[1:])
+    words = words.filter(pa.array(some)).dictionary_encode()
+    lower = pc.utf8_lower(words.dictionary).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(pc.take(lower.indices, words.indices), lower.dictionary), before[bounds]
 
 
 def plain_words(text: str) -> list[str]:
-    return [w for w in map(plain, text.split()) if w]
+    return split_words(pa.array([text]))[0].to_pylist()
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The item's words up to its last sentence, and those of that sentence; a lone sentence is cut after two thirds."""
-    parts = [words for words in map(plain_words, _SENTENCE.split(text)) if words]
+    words, bounds = split_words(pa.array(_SENTENCE.split(text), pa.string()))
+    parts = [words[a:b].to_pylist() for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
     if len(parts) > 1:
         return [w for words in parts[:-1] for w in words], parts[-1]
     words = parts[0] if parts else []
@@ -60,12 +80,22 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+class Statistics:
+    """What BM25 needs of all items: their number, mean and largest length, and in how many each term is."""
+
+    def __init__(self, split: list[tuple[list[str], list[str]]]) -> None:
+        lengths = [len(q) + len(a) for q, a in split]
+        self.n, self.total, self.longest = len(split), sum(lengths), max(lengths, default=1)
+        self.with_term = Counter(t for q, a in split for t in {*q, *a})
+
+
 class ItemIndex:
     """Inverted index of test items with the bounds that block-max WAND needs."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None) -> None:
         split = [(item_id, *question_and_answer(text or "")) for item_id, text in items]
         split = [x for x in split if x[1] or x[2]]
+        known = statistics or Statistics([x[1:] for x in split])
         self.item_ids = [x[0] for x in split]
         self.terms: dict[str, int] = {}
         number = lambda words: [self.terms.setdefault(w, len(self.terms)) for w in words]
@@ -73,10 +103,9 @@ class ItemIndex:
         self.answers = [number(a) for _, _, a in split]
         counts = [Counter(q + a) for q, a in zip(self.questions, self.answers, strict=True)]
         lengths = [sum(c.values()) for c in counts]
-        self.longest = max(lengths, default=1)
-        average = sum(lengths) / max(1, len(lengths))
-        with_term = Counter(t for c in counts for t in c)
-        idf = {t: math.log1p((len(counts) - n + 0.5) / (n + 0.5)) for t, n in with_term.items()}
+        self.longest = known.longest
+        average = known.total / max(1, known.n)
+        idf = {t: math.log1p((known.n - n + 0.5) / (n + 0.5)) for word, t in self.terms.items() for n in [known.with_term[word]]}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, (c, length) in enumerate(zip(counts, lengths, strict=True)):
             weights = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / average)) for t, n in c.items()}
@@ -99,6 +128,7 @@ class ItemIndex:
         self.n_blocks = -(-len(self.item_ids) // BLOCK_ITEMS)
         self.triples = [set(zip(q, q[1:], q[2:])) or {tuple(q)} for q in self.questions]
         self.answer_words = [set(a) for a in self.answers]
+        self.whole = [set(zip(w, w[1:], w[2:])) for q, a in zip(self.questions, self.answers, strict=True) for w in [q + a]]
 
     def retrieve(self, entries: list[int]) -> list[tuple[int, float]]:
         """Items of one block with a score of at least ``MIN_SCORE``, for a passage's terms in that block.
@@ -140,10 +170,11 @@ class ItemIndex:
         there = set(zip(*(words[i:] for i in range(size)), strict=False)) if size else {()}
         question = len(triples & there) / len(triples)
         answered = len(answer.intersection(words)) / len(answer) if answer else 1.0
-        short = len(self.questions[item]) + len(self.answers[item]) < SHORT_WORDS
-        if question >= (1.0 if short else MIN_QUESTION) and answered >= (1.0 if short else MIN_ANSWER):
-            return question, answered
-        return None
+        if len(self.questions[item]) + len(self.answers[item]) < SHORT_WORDS:
+            enough = question == answered == 1.0
+        else:
+            enough = (question >= MIN_QUESTION and answered >= MIN_ANSWER) or (size == 3 and len(self.whole[item] & there) >= MIN_WHOLE * len(self.whole[item]))
+        return (question, answered) if enough else None
 
 
 def _item(walk: list) -> int:
@@ -151,22 +182,11 @@ def _item(walk: list) -> int:
 
 
 def term_numbers(texts: pa.Array, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each word's term in the index, -1 if it has none; and where each text's words begin.
-
-    Words without letters and digits are left out, as they are of the items.
-    """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.utf8_split_whitespace(texts)
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    words = lists.flatten().dictionary_encode()
-    compared = [plain(w) for w in words.dictionary.to_pylist()]
+    """Number of each word's term in the index, -1 if it has none; and where each text's words begin."""
+    words, bounds = split_words(texts)
     known = index.terms.get
-    numbers = np.fromiter((known(w, -1) if w else -2 for w in compared), np.int64, len(compared))
-    numbers = numbers[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
-    kept = numbers > -2
-    before = np.zeros(len(kept) + 1, np.int64)
-    np.cumsum(kept, out=before[1:])
-    return numbers[kept], before[bounds]
+    numbers = np.fromiter((known(w, -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    return numbers[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64), bounds
 
 
 def leaks(texts: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, float, float, float]]:
@@ -243,10 +263,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = spark.sparkContext.broadcast(index)  # of at most PASS_ITEMS items
 
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
-                    hits = _by_text(part, known.value)
-                    yield pa.RecordBatch.from_pylist(hits, _HITS)
+            for part in text_slices(batches, 4 << 20):
+                yield pa.RecordBatch.from_pylist(_by_text(part, known.value), _HITS)
 
         one = rows.mapInArrow(search, "doc_id bigint, item_id bigint, score double, question_share double, answer_share double")
         found = one if found is None else found.unionByName(one)
@@ -266,16 +284,43 @@ def _by_text(part: pa.RecordBatch, index: ItemIndex) -> list[dict]:
     return [{"doc_id": ids[row].as_py(), "item_id": index.item_ids[item], "score": s, "question_share": q, "answer_share": a} for (row, item), (s, q, a) in sorted(best.items())]
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of each item, and its length under the empty term."""
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            question, answer = question_and_answer(text)
+            if question or answer:
+                terms = ["", *{*question, *answer}]
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([len(question) + len(answer)] + [0] * (len(terms) - 1), pa.int64())], names=["term", "length"])
+
+
 def _indexes(items: DataFrame) -> Iterator[ItemIndex]:
     """Indexes of at most ``PASS_ITEMS`` items each; the test set streams by in its order of ids."""
+    items = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text IS NOT NULL")
     part: list[tuple[int, str]] = []
-    for row in items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        part.append((row.item_id, row.text))
+    shared: DataFrame | None = None
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         if len(part) == PASS_ITEMS:
-            yield ItemIndex(part)
+            if shared is None:
+                terms = items.mapInArrow(_item_terms, "term string, length bigint")
+                shared = settle(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest")), "item-terms")
+            yield ItemIndex(part, _statistics(part, shared))
             part = []
+        part.append((row.item_id, row.text))
     if part:
-        yield ItemIndex(part)
+        yield ItemIndex(part, None if shared is None else _statistics(part, shared))
+
+
+def _statistics(part: list[tuple[int, str]], shared: DataFrame) -> Statistics:
+    """Those of all items, for the terms of one pass."""
+    made = Statistics([question_and_answer(text) for _, text in part])
+    own = shared.sparkSession.createDataFrame([(t,) for t in ["", *made.with_term]], "term string")
+    for row in shared.join(own, "term").collect():  # the terms of a pass
+        if row.term:
+            made.with_term[row.term] = row.n
+        else:
+            made.n, made.total, made.longest = row.n, row.total, row.longest
+    return made
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -287,11 +332,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = spark.sparkContext.broadcast(index)  # of at most PASS_ITEMS items
 
         def clean(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, batch.schema.names[at], 4 << 20):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[row for row, *_ in leaks(part.column(at), known.value)]] = False
-                    yield part.filter(pa.array(keep))
+            for part in text_slices(batches, 4 << 20, at):
+                keep = np.ones(part.num_rows, bool)
+                keep[[row for row, *_ in leaks(part.column(at), known.value)]] = False
+                yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.bins import ratio
+from spindrift.functions.bins import md5_uniform, ratio
 
 #: Vectors of each side that a task compares.
 BLOCK_ROWS = 4096
@@ -61,6 +61,29 @@ def _standardised(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
 
 
+def sampled_runs(train: DataFrame, test: DataFrame, runs: int, entries: int, shuffles: int, measure: str = "pearson") -> DataFrame:
+    """run, shuffle_id, n, accuracy of ``nearest`` on ``entries`` entries of the vectors, drawn anew for each run.
+
+    The labels of ``train`` are also shuffled among its rows, ``shuffles`` times; shuffle -1 has the true ones.
+    """
+    spark, width = train.sparkSession, (train.select(F.size("v").alias("n")).head() or [0])[0]
+    chosen = spark.range(runs).select(F.col("id").cast("int").alias("run")).crossJoin(spark.range(width).select(F.col("id").cast("int").alias("i")))  # runs x entries
+    order = Window.partitionBy("run").orderBy(md5_uniform(F.lit("entry"), "run", "i"), "i")
+    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= entries).groupBy("run").agg(F.sort_array(F.collect_list("i")).alias("at")).orderBy("run").collect()
+    found = None
+    for run, at in chosen:
+        part = lambda rows, at=at: rows.withColumn("v", F.array(*(F.col("v")[i] for i in at)))
+        one = nearest(part(train), part(test), measure).select(F.lit(run).alias("run"), "id", "nearest")
+        found = one if found is None else found.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("shuffle_id").orderBy("by", "id"))
+    copies = train.select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle_id"))
+    drawn = copies.withColumn("by", md5_uniform(F.lit("labels"), "shuffle_id", "id")).select("shuffle_id", place.alias("place"), "label")
+    rows = copies.withColumn("by", F.lit(0)).select("shuffle_id", place.alias("place"), "id")
+    labels = rows.join(drawn, ["shuffle_id", "place"]).select("shuffle_id", "id", "label").unionByName(train.select(F.lit(-1).alias("shuffle_id"), "id", "label"))
+    met = found.join(labels.withColumnRenamed("id", "nearest"), "nearest").join(test.select("id", F.col("label").alias("truth")), "id")
+    return met.groupBy("run", "shuffle_id").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+
+
 def accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return predicted.join(truth.select("id", F.col("label").alias("truth")), "id").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
 

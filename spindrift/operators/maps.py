@@ -55,7 +55,7 @@ def information_rate(rates: DataFrame, units: list[str], value: str = "raw") ->
 def adaptive_bounds(histogram: list[tuple[float, float]], lo: float, hi: float, n: int, least: float, rate: float = 0.05, steps: int = 10_000) -> tuple[float, float]:
     """Bounds drawn in by a share of a bin until both edge bins hold at least ``least``.
 
-    ``histogram`` (value, weight) is a fine pre-aggregated table, so this small loop is the driver's.
+    ``histogram`` (value, weight) is a fine pre-aggregated table, so this is a small loop.
     """
     values = np.array([v for v, _ in histogram])
     weights = np.array([w for _, w in histogram])
@@ -90,3 +90,8 @@ def shuffled_maps(spikes: DataFrame, lags: DataFrame, bin_after: Callable[[Colum
     """Counts per unit, shuffle and bin of spikes moved by each shuffle's lag: aggregated, never kept as a cube."""
     moved = spikes.crossJoin(F.broadcast(lags))  # a fixed number of shuffles
     return moved.withColumn("bin", bin_after(F.col("us") + F.col("lag_us"))).dropna(subset=["bin"]).groupBy(*units, "shuffle_id", "bin").agg(F.count("*").alias("n"))
+
+
+def named_pairs(frames: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Each frame once for each named pair of covariates, as ``pair``, ``x`` and ``y``: all maps come from one scan."""
+    return frames.withColumn("p", F.explode(F.array(*(F.struct(F.lit(name).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for name, (x, y) in pairs.items())))).select("*", "p.*").drop("p")

@@ -110,45 +110,44 @@ def cross_validate(counts: DataFrame, models: list[tuple[str, ...]], features: l
     return counts.crossJoin(F.broadcast(names)).groupBy("unit", "model").applyInPandas(fit, SCORES)  # a few models; counts are bounded by the bins
 
 
-def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALPHA, exclusive: list[set[str]] | None = None, **fit: float) -> DataFrame:
+def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALPHA, exclusive: list[set[str]] | None = None, start: tuple[str, ...] = (), l1: float = L1, folds: int = FOLDS) -> DataFrame:
     """(unit, layer, model, mean_score, p, chosen): each layer adds the covariate that improves a unit's model most.
 
-    All candidates of all units in a layer are one Spark job. A candidate must beat the model
-    before it over the folds (signed-rank, one-sided, exact) at ``alpha`` and have the largest
-    mean score, which must grow; ties take the first. ``exclusive`` names sets of which a model
-    holds one member at most.
+    A unit's counts are bounded by the bins, so one task does its whole selection; units are
+    selected side by side and nothing passes the driver. A candidate must beat the model before
+    it over the folds (signed-rank, one-sided, exact) at ``alpha`` and have the largest mean
+    score, which must grow; ties take the first. ``exclusive`` names sets of which a model holds
+    one member at most; ``start`` is a model that all units begin with, scored in layer 0.
     """
-    spark, schema = counts.sparkSession, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean"
-    best: dict[int, tuple[tuple[str, ...], dict[int, float], float]] = {r.unit: ((), {}, 0.0) for r in counts.select("unit").distinct().collect()}
-    open_units, rows = set(best), []
-    for layer in range(1, len(features) + 1):
-        wanted = {
-            u: [m for f in features if f not in best[u][0] and not any(f in g and g & set(best[u][0]) for g in exclusive or []) for m in [tuple(sorted((*best[u][0], f)))]] for u in open_units
-        }
-        models = sorted({m for found in wanted.values() for m in found})
-        if not models:
-            break
-        scores: dict[tuple[int, str], dict[int, float]] = {}
-        part = counts.where(F.col("unit").isin(sorted(open_units)))
-        for r in cross_validate(part, models, features, **fit).select("unit", "model", "fold", "llr_per_spike").collect():  # folds x models x units
-            if r.llr_per_spike is not None:
-                scores.setdefault((r.unit, r.model), {})[r.fold] = r.llr_per_spike
-        for u in sorted(open_units):
+
+    def select(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        def score(model: tuple[str, ...]) -> dict[int, float]:
+            small = rows.groupby(["fold", *model], as_index=False)[["n", "spikes"]].sum()
+            return {f["fold"]: f["llr_per_spike"] for f in fold_scores(small, list(model), l1, folds) if f["llr_per_spike"] is not None}
+
+        found, best, scores, mean = [], tuple(sorted(start)), {}, 0.0
+        if best:
+            scores = score(best)
+            mean = float(np.mean(list(scores.values()))) if scores else 0.0
+            found.append((key[0], 0, "+".join(best), mean if scores else None, None, True))
+        for layer in range(1, len(features) - len(best) + 1):
             tried = []
-            for m in wanted[u]:
-                now, before = scores.get((u, "+".join(m)), {}), best[u][1]
-                p = signed_rank_exact_greater([v - before.get(k, 0.0) for k, v in now.items() if not before or k in before])
-                tried.append((float(np.mean(list(now.values()))) if now else float("-inf"), p, m, now))
-            good = [x for x in tried if x[1] < alpha and x[0] > best[u][2]]
+            for f in features:
+                if f in best or any(f in g and g & set(best) for g in exclusive or []):
+                    continue
+                model = tuple(sorted((*best, f)))
+                now = score(model)
+                p = signed_rank_exact_greater([v - scores.get(k, 0.0) for k, v in now.items() if not scores or k in scores])
+                tried.append((float(np.mean(list(now.values()))) if now else float("-inf"), p, model, now))
+            good = [x for x in tried if x[1] < alpha and x[0] > mean]
             top = max(good, key=lambda x: x[0]) if good else None
-            rows += [(u, layer, "+".join(m), mean if np.isfinite(mean) else None, p, top is not None and m == top[2]) for mean, p, m, _ in tried]
-            if top:
-                best[u] = (top[2], top[3], top[0])
-            else:
-                open_units.discard(u)
-        if not open_units:
-            break
-    return spark.createDataFrame(rows, schema)
+            found += [(key[0], layer, "+".join(m), x if np.isfinite(x) else None, p, top is not None and m == top[2]) for x, p, m, _ in tried]
+            if top is None:
+                break
+            mean, _, best, scores = top
+        return pd.DataFrame(found, columns=["unit", "layer", "model", "mean_score", "p", "chosen"])
+
+    return counts.groupBy("unit").applyInPandas(select, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean")
 
 
 def ablation(counts: DataFrame, final: list[str], **fit: float) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import ratio, wrapped
@@ -124,3 +124,27 @@ def linear_fold(frame: str, total: int, folds: int):
     """Fold of a frame: contiguous blocks whose edges are floor(i * total / folds)."""
     edges = [i * total // folds for i in range(1, folds)]
     return sum((F.when(F.col(frame) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
+def common_events(events: DataFrame, session: str, order: str) -> DataFrame:
+    """Of each session the first so many events, numbered from 1 as ``nth``, that every session has as many."""
+    least = events.groupBy(session).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    numbered = events.withColumn("nth", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("bigint"))
+    return numbered.crossJoin(F.broadcast(least)).where("nth <= least").drop("least")  # one row
+
+
+def running_mean(rows: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:
+    """``mean`` of the n rows around each, fewer at the ends; of an even n one more lies before."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n // 2), (n - 1) // 2)
+    return rows.withColumn("mean", F.avg(value).over(by))
+
+
+def paired_in_order(one: DataFrame, two: DataFrame, name: str) -> DataFrame:
+    """(nth, first, second): the i-th of one list with the i-th of the other, in the order of names; lists of files are short."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)).cast("bigint") - 1
+    return one.select(place.alias("nth"), F.col(name).alias("first")).join(two.select(place.alias("nth"), F.col(name).alias("second")), "nth")
+
+
+def common_tokens(one: Column, two: Column, between: str) -> Column:
+    """Tokens of one name that another has too, in the first one's order."""
+    return F.array_join(F.filter(F.split(one, between), lambda x: F.array_contains(F.split(two, between), x)), between)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,9 +175,13 @@ def centre_of_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of the order price that leave both edge bins with enough frames."""
     fine = load(spark, sf_dir, "orders", "o_totalprice").groupBy(F.floor(F.col("o_totalprice") / 500).alias("b")).agg(F.count("*").alias("n"))
-    rows = [(float(r.b * 500 + 250), float(r.n)) for r in fine.orderBy("b").collect()]  # a fine histogram, bounded by the price range
-    lo, hi = maps.adaptive_bounds(rows, rows[0][0] - 250, rows[-1][0] + 250, 36, sum(n for _, n in rows) / 200)
-    return spark.createDataFrame([(lo, hi)], "lo double, hi double")
+
+    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("b")
+        found = maps.adaptive_bounds(list(zip(rows["b"] * 500.0 + 250, rows["n"].astype(float), strict=True)), rows["b"].min() * 500.0, rows["b"].max() * 500.0 + 500, 36, rows["n"].sum() / 200)
+        return pd.DataFrame([found], columns=["lo", "hi"])
+
+    return fine.where("b IS NOT NULL").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(bounds, "lo double, hi double")  # a fine histogram, bounded by the price range
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.places import scratch
-from spindrift.operators import decoding, geometry, regression, signal, windows
+from spindrift.operators import decoding, geometry, glm, regression, signal, windows
 from spindrift.sources import tables
 from spindrift.sources.tables import load, spikes
 from spindrift.streaming import counts
@@ -87,6 +87,25 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", "model", "n", *(F.round(c, 4).alias(c) for c in ("llr_per_spike", "pseudo_r2", "accuracy")))
 
 
+def glm_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit's hourly counts by hour and weekday, in four families."""
+    rows = glm.design_rows(_unit_hours(spark, sf_dir), ["hour", "weekday"])
+    found = glm.fit_units(rows, ["hour", "weekday"], list(glm.FAMILIES))
+    return found.select("unit", "family", "n", *(F.round(c, 4).alias(c) for c in ("loglik", "null_loglik", "deviance", "pseudo_r2")))
+
+
+def glm_group_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each covariate's bins penalised together, half of the penalty a ridge."""
+    rows = glm.design_rows(_unit_hours(spark, sf_dir), ["hour", "weekday"])
+    found = glm.fit_units(rows, ["hour", "weekday"], ["bernoulli", "poisson"], lam=0.01, alpha=0.5, grouped=True)
+    return found.select("unit", "family", "n", "zeros", F.round("loglik", 4).alias("loglik"))
+
+
+def backward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = glm.backward_scores(glm.design_rows(_unit_hours(spark, sf_dir), FEATURES), FEATURES)
+    return found.select("unit", "left_out", "n", *(F.round(c, 4).alias(c) for c in ("auc", "loglik", "cox_snell", "nagelkerke", "pearson2", "adjusted_r2", "tjur", "accuracy", "pseudo_r2", "llr")))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score between 0 and 1 and a null model's."""
     docs = load(spark, sf_dir, "documents", "doc_id", "n_chars")
@@ -198,7 +217,7 @@ def lag_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nn_decoder, nn_euclid, pca, kmeans_profile, fold_sublock, glm_cv, forward_selection, ablation, roc_auc, llr_scores, link_functions, rotations, euler_round_trip, wavelet_power, watershed_labels,
+        nn_decoder, nn_euclid, pca, kmeans_profile, fold_sublock, glm_cv, forward_selection, ablation, glm_families, glm_group_lasso, backward_scores, roc_auc, llr_scores, link_functions, rotations, euler_round_trip, wavelet_power, watershed_labels,
         density_grid, sinks_roundtrip, json_document, partition_pruned_scan, stream_counts, lag_alignment,
     )
 }

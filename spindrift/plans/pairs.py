@@ -95,7 +95,7 @@ def connection_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations of the first units' daily counts, empty days counting as 0."""
+    """Correlations of all units' daily counts, empty days counting as 0."""
     rows = spikes(spark, sf_dir)
     counts = rows.groupBy("unit", F.expr("us div 86400000000").alias("bin")).agg(F.count("*").alias("n"))
     found = pairs.correlation_matrix(counts, rows.select("unit").distinct(), 30)
@@ -144,7 +144,7 @@ def permutation_swap(spark: SparkSession, sf_dir: str, shuffles: int = 1000) ->
 
 
 def shifted_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spikes that are left of each shifted copy of the first units' trains."""
+    """Spikes that are left of each shifted copy of all trains."""
     rows = spikes(spark, sf_dir)
     moved = resampling.shifted_trains(rows, resampling.shifts(spark, 10, 20 * HOUR, 60 * HOUR), 720 * HOUR)
     return moved.groupBy("shuffle_id", "lag_us").agg(F.count("*").alias("n"), F.sum("us").alias("total"))
@@ -189,7 +189,7 @@ def top_modulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zeros_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed-rank sums of late against early daily counts of the first units, equal pairs ranked and split."""
+    """Signed-rank sums of late against early daily counts of each unit, equal pairs ranked and split."""
     rows = spikes(spark, sf_dir)
     days = rows.groupBy("unit", (F.expr("us div 86400000000") % 15).alias("day")).agg(F.count(F.when(F.col("us") < 360 * HOUR, 1)).alias("early"), F.count(F.when(F.col("us") >= 360 * HOUR, 1)).alias("late"))
     return resampling.signed_rank(days, ["unit"], "late", "early", zeros="split").select("unit", "n", "w_plus", "w_minus")

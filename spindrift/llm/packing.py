@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import executors_can_import, settle, tokenizer_path
-from spindrift.llm.tokens import encoder
+from spindrift.llm.common import executors_can_import, settle, text_slices, tokenizer_path
+from spindrift.llm.tokens import TEXT_BYTES, encoder
 
 CAPACITY, TOKENIZER, END_ID = 1024, "byte_bpe_50k.json", 2
 #: Lengths up to this share of the capacity are small.
@@ -57,9 +57,9 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
     executors_can_import(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), encoder(tokenizer_path(tokenizer))
+        task, coder = TaskContext.get().partitionId(), encoder(tokenizer_path(tokenizer), plain=False)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in text_slices(batches, TEXT_BYTES):
             ids, bounds = coder.encode(batch.column(1))
             sizes = np.diff(bounds) + 1
             counts = -(-sizes // capacity)
@@ -82,7 +82,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
             nth[order] = seen[ranked] + np.arange(len(row)) - first
             seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks), pa.array(np.full(len(row), part), pa.int32()), pa.array(nth)],
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks), pa.array(np.full(len(row), task), pa.int32()), pa.array(nth)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
             )
 

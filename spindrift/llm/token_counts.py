@@ -17,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import executors_can_import, fresh_path, settle, tokenizer_path
+from spindrift.llm.common import executors_can_import, fresh_path, settle, text_slices, tokenizer_path
 from spindrift.llm.files import committed, make_folder, opened
-from spindrift.llm.tokens import encoder
+from spindrift.llm.tokens import TEXT_BYTES, encoder
 
 #: Bytes of a file that one task row searches at once.
 BLOCK_BYTES = 4 << 20
@@ -46,7 +46,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id:
         if first is None:
             return
         with committed(f"{folder}/part-{number:06d}.ids") as stream:
-            for batch in _chained(first, batches):
+            for batch in text_slices(_chained(first, batches), TEXT_BYTES):
                 ids, bounds = coder.encode(batch.column(1))
                 out = np.full(len(ids) + batch.num_rows, end_id, width)
                 at = np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(bounds))

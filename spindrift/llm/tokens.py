@@ -3,9 +3,10 @@
 A tokenizer file splits a text into pieces before its model sees any of them, and no piece
 crosses a single space that stands between two other characters (byte-level files) or any white
 space (word-end files). So a text is cut at such places, each distinct word's ids are kept in a
-bounded memory, and a text's ids are gathered from there. The ids equal those of
-``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens`` set: strings
-of special tokens inside a text are ordinary text. Files of any other build are encoded whole.
+memory bounded in bytes, and a text's ids are gathered from there. The ids equal those of
+``Tokenizer.encode(text, add_special_tokens=False)``. ``plain`` encoders are those with
+``encode_special_tokens`` set: strings of special tokens inside a text are ordinary text there;
+in others they give the special tokens' ids. Files of any other build are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Distinct words whose ids a worker keeps; when full, the memory starts anew.
-KEPT_WORDS = 500_000
+#: Bytes of words and their ids that a worker keeps; when full, those that the text at hand doesn't have go.
+MEMORY_BYTES = 16 << 20
+#: Longer words (in bytes) aren't kept.
+KEPT_LENGTH = 128
 #: UTF-8 bytes of text that are encoded at once; longer texts are cut at safe places.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
+#: Characters of a word that the library encodes at once, where punctuation lets it be cut.
+WORD_CHARS = 1 << 16
+#: Pieces of unusual words, and strings of marks behind usual ones, that are kept as Python objects.
+KEPT_PIECES = 1 << 14
 
 # White space as the tokenizer files' patterns see it, and those patterns.
 _WHITE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0  -     　"
@@ -33,11 +40,17 @@ _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L
 
 _IRREGULAR = f"(^|[{_WHITE}]) | ([{_WHITE}]|$)"  # a space beside white space or at an end
 _BYTE_CUT = re.compile(f"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
+#: Such a place in a text for a byte-level file, found from the space on.
+SAFE_SPACE = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 _WORD_CUT = re.compile("[ \t\n\r]+")
+# Letters end a piece and marks begin one: there a word without white space can be cut.
+_MARK_CUT = re.compile("(?<=[A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[,.;:!?\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 #: Marks that form one piece behind a word; an apostrophe may begin another.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters on which this module's and the library's pattern engines surely agree.
 _PLAIN = re.compile("[\n -~À-ɏ]*").fullmatch
+#: A word of letters alone among these: one piece, with the space before it.
+_USUAL = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$"
 
 
 def _byte_characters() -> dict[int, str]:
@@ -48,6 +61,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _ALPHABET = _byte_characters()
+_SPACE = _ALPHABET[32]
 
 
 def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -58,76 +72,130 @@ def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at]
 
 
-class _Store:
-    """Lists of ids, one behind the other."""
+class _Kept:
+    """Words and their ids, in arrays."""
 
     def __init__(self) -> None:
-        self.ids, self.starts, self.lengths = array("I"), array("i"), array("i")
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.frombuffer(self.lengths, np.int32)[numbers]
-        starts = np.frombuffer(self.starts, np.int32)[numbers]
-        return ranges(np.frombuffer(self.ids, np.uint32), starts.astype(np.int64), lengths), lengths
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.starts.nbytes + self.lengths.nbytes
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 if it isn't kept."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+
+    def replace(self, words: pa.Array, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep these words only; each has its ids at a place of ``ids``."""
+        some = pc.less_equal(pc.binary_length(words), KEPT_LENGTH)
+        at = some.to_numpy(zero_copy_only=False)
+        self.words, self.lengths = words.filter(some), lengths[at]
+        self.ids = ranges(ids, starts[at], self.lengths)
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
 
 class TextEncoder:
-    """Encodes batches of texts with the tokenizer file at ``path``."""
+    """Encodes batches of texts with the tokenizer file at ``path``.
+
+    Memory: ``MEMORY_BYTES`` twice (words behind a space and others), and what the words of
+    ``TEXT_BYTES`` of text (one span, or a part of a longer text) take. A single run of letters
+    without any break is given to the library as it is.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
-            built = json.load(file)
-        self.kind = _kind(built)
+        self.tokenizer.encode_special_tokens = plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.kind = _kind(added, *(json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)))
+        self.special = {} if plain else {token.content: self.tokenizer.token_to_id(token.content) for token in added}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._model = self.tokenizer.model
-        self._start_anew()
-
-    def _start_anew(self) -> None:
-        self._store = _Store()
         self._pieces: dict[str, list[int]] = {}
-        # word -> number of its ids' place in the store; the first knows words without the space before them
-        self._after_space: dict[str, int] = {}
-        self._as_is: dict[str, int] = {}
-
-    def _numbers(self, words: list[str], known: dict[str, int], before: str = "") -> list[int]:
-        """Numbers of the words in the store; those that ``known`` lacks are encoded, ``before`` being put before them."""
-        found = list(map(known.get, words))
-        ids, starts, lengths, pieces = self._store.ids, self._store.starts, self._store.lengths, self._pieces
-        lower = self.kind == "word"
-        for i, number in enumerate(found):
-            if number is None:
-                word = words[i]
-                if (number := known.get(word)) is None:
-                    text = before + (word.lower() if lower else word)
-                    core = text.rstrip(_TAIL)
-                    start = len(ids)
-                    # the usual word: letters, then perhaps marks
-                    if core[core[:1] == " " :].isalpha() and (text.isascii() or (_PLAIN(text) and _PLAIN(word))):
-                        for piece in (core, text[len(core) :]) if len(core) < len(text) else (core,):
-                            if (made := pieces.get(piece)) is None:
-                                made = self._encode_piece(piece)
-                            ids.extend(made)
-                    else:
-                        ids.extend(self._encode_text(before + word))
-                    known[word] = number = len(starts)
-                    starts.append(start)
-                    lengths.append(len(ids) - start)
-                found[i] = number
-        return found
-
-    def _encode_piece(self, piece: str) -> list[int]:
-        letters = piece.encode().decode("latin-1").translate(_ALPHABET)
-        self._pieces[piece] = made = [token.id for token in self._model.tokenize(letters)]
+        # words behind a space, known without it; and words as they stand
+        self._after_space, self._as_is = _Kept(), _Kept()
+
+    @property
+    def held_bytes(self) -> int:
+        """What the kept words take."""
+        return self._after_space.nbytes + self._as_is.nbytes
+
+    def _ids_of(self, words: pa.Array, kept: _Kept, before: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and lengths for distinct words, ``before`` being put before each.
+
+        A word of letters with marks behind them has the letters' ids and the marks' ids.
+        """
+        cores = pc.utf8_rtrim(words, characters=_TAIL)
+        usual = pc.match_substring_regex(cores, _USUAL)
+        keys = pc.if_else(usual, cores, words)
+        tails = _ends(words, pc.binary_length(keys).to_numpy(zero_copy_only=False)).dictionary_encode()
+        keys = keys.dictionary_encode()
+        # the keys' ids: kept ones, then those of new keys
+        known = kept.find(keys.dictionary)
+        new = known < 0
+        made = array("I")
+        ends = []
+        fresh = keys.dictionary.filter(pa.array(new))
+        for word, plainly in zip(fresh.to_pylist(), pc.match_substring_regex(fresh, _USUAL).to_pylist(), strict=True):
+            if plainly:
+                made.extend(self._piece(before + (word.lower() if self.kind == "word" else word)))
+            else:
+                self._encode_text(before + word, made)
+            ends.append(len(made))
+        new_ends = np.array(ends, np.int64)
+        new_starts = np.concatenate((np.zeros(1, np.int64), new_ends))[:-1] if len(ends) else new_ends
+        starts, lengths = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+        starts[~new], lengths[~new] = kept.starts[known[~new]], kept.lengths[known[~new]]
+        starts[new], lengths[new] = len(kept.ids) + new_starts, new_ends - new_starts
+        ids = np.concatenate((kept.ids, np.frombuffer(made, np.uint32) if made else np.empty(0, np.uint32)))
+        if new.any():
+            if kept.nbytes + fresh.nbytes + 12 * len(fresh) + 4 * len(made) > MEMORY_BYTES:
+                kept.replace(keys.dictionary, ids, starts, lengths)
+            else:
+                kept.replace(pa.concat_arrays([kept.words, fresh]), ids, np.append(kept.starts, starts[new]), np.append(kept.lengths, lengths[new]))
+        # key and tail of each word, one after the other
+        marks = [self._marks(x) for x in tails.dictionary.to_pylist()]
+        sizes = np.array([len(x) for x in marks], np.int64)
+        places = len(ids) + np.cumsum(sizes) - sizes
+        of_key, of_tail = keys.indices.to_numpy(), tails.indices.to_numpy()
+        both = np.stack((starts[of_key], places[of_tail]), axis=1).ravel(), np.stack((lengths[of_key], sizes[of_tail]), axis=1).ravel()
+        ids = ranges(np.concatenate((ids, np.array([i for x in marks for i in x], np.uint32))), *both)
+        lengths = lengths[of_key] + sizes[of_tail]
+        return ids, np.cumsum(lengths) - lengths, lengths
+
+    def _piece(self, piece: str) -> list[int]:
+        letters = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
+        return [token.id for token in self._model.tokenize(letters)]
+
+    def _kept_piece(self, piece: str) -> list[int]:
+        """Ids of any piece."""
+        made = self._pieces.get(piece)
+        if made is None:
+            made = [token.id for token in self._model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
+            if len(piece) <= KEPT_LENGTH:
+                if len(self._pieces) >= KEPT_PIECES:
+                    self._pieces.clear()
+                self._pieces[piece] = made
         return made
 
-    def _encode_text(self, text: str) -> list[int]:
-        if not _PLAIN(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = _BYTE_PIECES.findall(text) if self.kind == "byte" else _WORD_PIECES.findall(text.lower())
-        return [i for piece in pieces for i in (self._pieces.get(piece) or self._encode_piece(piece))]
+    def _marks(self, tail: str) -> list[int]:
+        return self._kept_piece(tail) if tail else []
+
+    def _encode_text(self, text: str, into: array) -> None:
+        """Add a text's ids, piece by piece where this module knows the pieces."""
+        if _PLAIN(text):
+            for piece in _BYTE_PIECES.finditer(text) if self.kind == "byte" else _WORD_PIECES.finditer(text.lower()):
+                into.extend(self._kept_piece(piece[0]))
+            return
+        low = 0
+        while low < len(text):
+            at = _MARK_CUT.search(text, low + WORD_CHARS)
+            high = at.start() if at else len(text)
+            into.extend(self.tokenizer.encode(text[low:high], add_special_tokens=False).ids)
+            low = high
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and the last one's end; null is the empty text."""
@@ -136,15 +204,13 @@ class TextEncoder:
         found: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for low, high in _spans(sizes):
-            if len(self._as_is) + len(self._after_space) > KEPT_WORDS:
-                self._start_anew()
             part = texts.slice(low, high - low)
             if self.kind == "whole":
                 ids, n = self._whole(part)
-            elif sizes[low] > TEXT_BYTES:
-                ids, n = self._long(part[0].as_py())
+            elif (special := self._special_texts(part)).any():
+                ids, n = _merged(part, special, self._around_special, self._span)
             else:
-                ids, n = self._many(part)
+                ids, n = self._span(part)
             found.append(ids)
             counts.append(n)
         bounds = np.zeros(len(texts) + 1, np.int64)
@@ -156,6 +222,27 @@ class TextEncoder:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
+    def _special_texts(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of a special token that counts as one."""
+        found = np.zeros(len(texts), bool)
+        for content in self.special:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return found
+
+    def _around_special(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with special tokens: the library takes these out first, so the parts between are texts of their own."""
+        cut, made, counts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")"), [], []
+        for text in texts.to_pylist():
+            parts = [np.array([self.special[x]], np.uint32) if i % 2 else self._span(pa.array([x], pa.large_string()))[0] for i, x in enumerate(cut.split(text))]
+            made += parts
+            counts.append(sum(map(len, parts)))
+        return np.concatenate(made), np.array(counts, np.int64)
+
+    def _span(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) == 1 and pc.binary_length(texts)[0].as_py() > TEXT_BYTES:
+            return self._long(texts[0].as_py())
+        return self._many(texts)
+
     def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """One long text, in parts that begin at safe cuts."""
         cut, parts, low = (_BYTE_CUT if self.kind == "byte" else _WORD_CUT), [], 0
@@ -171,53 +258,66 @@ class TextEncoder:
         return _BYTE_CUT.split(text) if self.kind == "byte" else _WORD_CUT.split(text)
 
     def _of_chunks(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        numbers: list[int] = []
-        sizes = []
-        for chunks in texts:
-            numbers += self._numbers(chunks, self._as_is)
-            sizes.append(len(chunks))
-        ids, lengths = self._store.gather(np.array(numbers, np.int64))
-        return ids, _sums(lengths, np.cumsum([0, *sizes]))
+        chunks: list[str] = []
+        bounds = [0]
+        for text in texts:
+            chunks += text
+            bounds.append(len(chunks))
+        words = pa.array(chunks, pa.string()).dictionary_encode()
+        ids, starts, lengths = self._ids_of(words.dictionary, self._as_is)
+        at = words.indices.to_numpy()
+        return ranges(ids, starts[at], lengths[at]), _sums(lengths[at], np.array(bounds))
 
     def _many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "byte":
             odd = pc.match_substring_regex(texts, _re2(_IRREGULAR)).to_numpy(zero_copy_only=False)
             if odd.any():
-                return self._mixed(texts, odd)
+                return _merged(texts, odd, lambda x: self._of_chunks(map(self._chunks, x.to_pylist())), self._many)
         else:
             texts = pc.replace_substring_regex(texts, "[\t\n\r]", " ")
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(texts.cast(pa.string()), " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        numbers = np.array(self._numbers(known, self._after_space, " " if self.kind == "byte" else ""), np.int32)[words.indices.to_numpy()]
-        if self.kind == "byte":
-            firsts = bounds[:-1]
-            at = words.indices.to_numpy()[firsts]
-            numbers[firsts] = self._numbers([known[i] for i in at], self._as_is)
-        ids, lengths = self._store.gather(numbers)
-        return ids, _sums(lengths, bounds)
-
-    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        regular, irregular = np.flatnonzero(~odd), np.flatnonzero(odd)
-        one = self._many(texts.take(pa.array(regular))) if len(regular) else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        two = self._of_chunks(map(self._chunks, texts.take(pa.array(irregular)).to_pylist()))
-        counts = np.empty(len(texts), np.int64)
-        starts = np.empty(len(texts), np.int64)
-        counts[regular], counts[irregular] = one[1], two[1]
-        starts[regular] = np.cumsum(one[1]) - one[1]
-        starts[irregular] = len(one[0]) + np.cumsum(two[1]) - two[1]
-        return ranges(np.concatenate((one[0], two[0])), starts, counts), counts
-
-
-def _kind(built: dict) -> str:
+        at = words.indices.to_numpy()
+        ids, starts, lengths = self._ids_of(words.dictionary, self._after_space, " " if self.kind == "byte" else "")
+        if self.kind == "byte":  # nothing stands before a text's first word
+            first = pc.take(words.dictionary, pa.array(at[bounds[:-1]])).dictionary_encode()
+            more, places, sizes = self._ids_of(first.dictionary, self._as_is)
+            at = at.astype(np.int64)
+            at[bounds[:-1]] = len(starts) + first.indices.to_numpy()
+            starts, lengths, ids = np.concatenate((starts, len(ids) + places)), np.concatenate((lengths, sizes)), np.concatenate((ids, more))
+        return ranges(ids, starts[at], lengths[at]), _sums(lengths[at], bounds)
+
+
+def _ends(words: pa.Array, skipped: np.ndarray) -> pa.Array:
+    """What follows the first ``skipped`` bytes of each word."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    lengths = np.diff(bounds) - skipped
+    held = words.buffers()[2]
+    found = ranges(np.frombuffer(held, np.uint8) if held else np.empty(0, np.uint8), bounds[:-1] + skipped, lengths)
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(found))
+
+
+def _merged(texts: pa.Array, odd: np.ndarray, of_odd: Callable, of_even: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of all texts, in order, where ``odd`` ones are encoded by ``of_odd`` and the others by ``of_even``."""
+    made, starts, counts, before = [], np.empty(len(texts), np.int64), np.empty(len(texts), np.int64), 0
+    for at, encode in ((np.flatnonzero(~odd), of_even), (np.flatnonzero(odd), of_odd)):
+        if len(at):
+            ids, n = encode(texts.take(pa.array(at)))
+            starts[at], counts[at] = before + np.cumsum(n) - n, n
+            made.append(ids)
+            before += len(ids)
+    return ranges(np.concatenate(made), starts, counts), counts
+
+
+def _kind(added: Iterable, before: dict, pieces: dict) -> str:
     """How the texts of a tokenizer file may be cut: at spaces (byte), at white space (word), or not (whole)."""
-    before, pieces = built.get("normalizer"), built.get("pre_tokenizer") or {}
-    if any(token.get("normalized") or token.get("lstrip") or token.get("rstrip") for token in built.get("added_tokens", [])):
+    if any(token.normalized or token.lstrip or token.rstrip for token in added):
         return "whole"
-    if before is None and pieces.get("type") == "ByteLevel" and pieces["use_regex"] and not pieces["add_prefix_space"]:
+    if not before and pieces.get("type") == "ByteLevel" and pieces["use_regex"] and not pieces["add_prefix_space"]:
         return "byte"
-    steps = [x["type"] for x in (before or {}).get("normalizers", [])], [x["type"] for x in pieces.get("pretokenizers", [])]
+    steps = [x["type"] for x in before.get("normalizers", [])], [x["type"] for x in pieces.get("pretokenizers", [])]
     if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and pieces["pretokenizers"][0]["pattern"] == {"Regex": _WORD_PIECES.pattern}:
         return "word"
     return "whole"
@@ -245,7 +345,7 @@ def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
-    """This worker's encoder for a tokenizer file."""
-    return TextEncoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, plain: bool = True) -> TextEncoder:
+    """This worker's encoder for a tokenizer file; one of another file or kind takes its place."""
+    return TextEncoder(path, plain)

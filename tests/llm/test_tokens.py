@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import resource
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from spindrift.llm import packing, token_counts, token_files, tokens
 from spindrift.llm.common import tokenizer_path
@@ -18,35 +21,74 @@ TEXTS = ["", None, " ", "one", "  two  spaces ", "line\nend\n\n  x", "it's I'LL
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def plain(name, texts):
-    made = tokens.encoder(tokenizer_path(name)).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
-    return [x.ids for x in made]
+@lru_cache
+def library(name, plainly=True):
+    made = Tokenizer.from_file(tokenizer_path(name))
+    if plainly:
+        made.encode_special_tokens = True
+    return made
 
 
-def encoded(name, texts):
-    ids, bounds = tokens.encoder(tokenizer_path(name)).encode(pa.array(texts, pa.string()))
+def plain(name, texts, plainly=True):
+    return [x.ids for x in library(name, plainly).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoded(name, texts, plainly=True):
+    ids, bounds = tokens.encoder(tokenizer_path(name), plainly).encode(pa.array(texts, pa.string()))
     return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+@pytest.mark.parametrize("plainly", [True, False])
 @pytest.mark.parametrize("name", FILES)
-def test_ids_equal_the_librarys(name):
-    assert encoded(name, TEXTS) == plain(name, TEXTS)
-    assert encoded(name, []) == []
+def test_ids_equal_the_librarys(name, plainly):
+    assert encoded(name, TEXTS, plainly) == plain(name, TEXTS, plainly)
+    assert encoded(name, [], plainly) == []
+
 
+PARTS = [*"ab Z'1s\n\t\r \u3000é.<|*日’-", "<|endoftext|>", "<|startoftext|>"]
 
+
+@pytest.mark.parametrize("plainly", [True, False])
 @pytest.mark.parametrize("name", FILES)
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab Z'1s\n\t\r \u3000é.<|*日’-")), max_size=30), max_size=8))
-def test_ids_equal_the_librarys_on_any_text(name, texts):
-    assert encoded(name, texts) == plain(name, texts)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), max_size=8))
+def test_ids_equal_the_librarys_on_any_text(name, plainly, texts):
+    assert encoded(name, texts, plainly) == plain(name, texts, plainly)
 
 
+@pytest.mark.parametrize("plainly", [True, False])
 @pytest.mark.parametrize("name", FILES)
-def test_long_texts_are_cut_safely(name, monkeypatch):
+def test_long_texts_are_cut_safely(name, plainly, monkeypatch):
     monkeypatch.setattr(tokens, "TEXT_BYTES", 64)
-    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 2000)
+    monkeypatch.setattr(tokens, "KEPT_LENGTH", 5)
+    monkeypatch.setattr(tokens, "WORD_CHARS", 7)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
     text = "alpha beta,  gamma\n\ndelta it's 12 " * 30
-    assert encoded(name, [text, "short", text[:70]]) == plain(name, [text, "short", text[:70]])
+    texts = [text, "short", text[:70], "日本語、" * 40 + "終。end" + "ΣΑΣ.é，" * 30, "aGVs/bG8+9" * 50, f"{text[:90]}<|endoftext|>{text[:90]}"]
+    assert encoded(name, texts, plainly) == plain(name, texts, plainly)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_memory_is_bounded_in_bytes(name):
+    """Up to 50 MB of texts without spaces: base64, minified code, and CJK."""
+    rng = np.random.default_rng(3)
+    letters = {"base64": "ABCDEFGHijklmnopqrstuvwx0123456789+/", "code": "abcxyz(){}=;.,+_", "cjk": "".join(map(chr, range(0x4E00, 0x4F00))) + "。，"}
+    alphabets = [np.array(list(x)) for x in letters.values()]
+    coder = tokens.encoder(tokenizer_path(name))
+    before, most, done = resident(), 0, 0
+    while done < (50 if coder.kind == "byte" else 12) << 20:
+        texts = pa.array(["".join(rng.choice(alphabets[k % 3], 100_000)) for k in range(10)])
+        coder.encode(texts)
+        done += texts.nbytes
+        most = max(most, resident())
+        assert coder.held_bytes <= 2 * tokens.MEMORY_BYTES
+    assert most - before < 250
+
+
+def resident():
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[1]) * resource.getpagesize() >> 20
 
 
 def documents(spark, texts, ids=None):
@@ -88,7 +130,7 @@ def test_records_come_back(spark):
     ids = [5, 3, None, 5, 9, 0, 1, 2, 4, 6, 7, 8]
     got = token_files.token_digest(documents(spark, TEXTS, ids)).collect()
     order = sorted(range(len(ids)), key=lambda i: -1 if ids[i] is None else ids[i])
-    made = {i: [*x, 1] for i, x in enumerate(plain("word_bpe_49k.json", TEXTS))}
+    made = {i: [*x, 1] for i, x in enumerate(plain("word_bpe_49k.json", TEXTS, plainly=False))}
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [ids[i] for i in order]
     assert Counter(r.ids_crc32 for r in got) == Counter(zlib.crc32(np.array(x, "<u4").tobytes()) for x in made.values())
     ranked = sorted(got, key=lambda r: r.start)
@@ -96,6 +138,16 @@ def test_records_come_back(spark):
     assert token_files.token_digest(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("run_bytes", [1, 100, 1 << 20])
+def test_runs_are_bounded_in_bytes(spark, tmp_path, run_bytes):
+    runs = token_files.write_records(documents(spark, TEXTS * 3), str(tmp_path), run_bytes=run_bytes)
+    kept = runs.collect()
+    assert all(r.bytes <= run_bytes or r.n_records == 1 for r in kept) and sum(r.n_records for r in kept) == 3 * len(TEXTS)
+    read = token_files.read_records(spark.createDataFrame(kept, runs.schema)).collect()
+    made = {i: [*x, 1] for i, x in enumerate(plain("word_bpe_49k.json", TEXTS * 3, plainly=False))}
+    assert {r.doc_id: r.ids for r in read} == made and len({(r.part, r.nth) for r in read}) == len(read)
+
+
 def test_damaged_records_are_found():
     record = token_files.pack_record(None, np.array([1, 70000], np.uint32), True)
     data = bytearray(token_files.frame(record))
@@ -160,7 +212,7 @@ def test_plans_are_near_best_fit_decreasing(low, high):
 def test_packed_documents(spark):
     texts = [*TEXTS, "word " * 5000, None, "one"]
     got = packing.pack_documents(documents(spark, texts)).collect()
-    made = [[*x, 2] for x in plain("byte_bpe_50k.json", texts)]
+    made = [[*x, 2] for x in plain("byte_bpe_50k.json", texts, plainly=False)]
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)

@@ -106,6 +106,8 @@ def test_near_dup_edges(spark):
     assert len(got) == 5 and {r.component_id for r in got if r.doc_id == 5} == {5} and all(r.kept for r in got if r.doc_id is not None)
     kept = near_dup.keep_representatives(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, None)]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == ["doc_id", "text", "kept", "n_words"]
+    clashing = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 5, 6)], "doc_id long, text string, Row_Key long, cls long")
+    assert [tuple(r) for r in near_dup.keep_representatives(clashing).collect()] == [(1, "a b c d e f", 5, 6)]
 
 
 def test_odd_sketches_estimate_high_similarities():
@@ -208,7 +210,7 @@ def test_rows_that_share_a_doc_id_are_told_apart(spark):
     components = brute_components([(n, t) for n, (_, t) in enumerate(rows)])
     docs = frame(spark, rows).repartition(3)
     with_keys = docs.withColumn("row_key", near_dup._row_key())
-    classes = with_keys.where("length(text) > 1").groupBy("text").agg({"row_key": "min"}).toDF("cls", "rep")
+    classes = with_keys.where("length(text) > 1").groupBy("text").agg({"row_key": "min"}).toDF("cls", "row_key")
     texts = near_dup._texts_of(classes.select("cls"), classes, with_keys.dropDuplicates(["row_key"])).collect()
     assert sorted(r.cls for r in texts) == sorted(r.text for r in texts) == sorted({t for _, t in rows if t and t.strip()})
     kept = near_dup.keep_representatives(docs).collect()
@@ -222,4 +224,72 @@ def test_rows_that_share_a_doc_id_are_told_apart(spark):
         assert r.doc_id == min((i for i in ids[place[r.text]] if i is not None), default=None) and (r.doc_id, r.text) in rows
     assert sorted((str(r.doc_id), r.text or "") for r in kept if not (r.text or "").strip()) == [("7", " "), ("7", " "), ("None", ""), ("None", "")]
     judged = near_dup.near_duplicates(docs).collect()
-    assert len(judged) == len(rows) and len({r.cls for r in judged if r.cls}) == 24
+    assert len(judged) == len(rows) and len({r.cls for r in judged if r.cls is not None}) == 24
+
+
+CODE = "def area(w, h):\n    return w*h\n\nprint(area(3, 4))  # what is printed? 12"
+LIST = "Name each:\n- the first planet\n- the second planet\n- the third planet\nMercury; Venus; Earth"
+FORMULA = "If $x^2 + y^2 = 25$ and x-y=1, what is x*y? It is 12."
+CHINESE = "在一个三角形中，两个角分别是四十度和六十度，那么第三个角是多少度？第三个角是八十度。"
+JAPANESE = "東京から大阪までの距離は約五百キロです。時速百キロで走ると何時間かかりますか。五時間です。"
+
+
+def test_items_of_all_kinds_are_found_in_other_text():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    items = list(enumerate([CODE, LIST, FORMULA, CHINESE, JAPANESE, some_text(rng, 15).replace(" ", "\u00a0") + ". " + some_text(rng, 4) + "."]))
+    index = decontaminate.ItemIndex(items)
+    around = [some_text(rng, 50), "这里是别的文字，" * 6, "x = f(a, b); " * 9, "- one\n- two\n"]
+    texts = [a + sep + item + sep + b for _, item in items for a in around for b in around for sep in (" ", "\n")] + [CHINESE.replace("，", " ， "), FORMULA.replace("+", " + ").replace("-", " - ")]
+    found = {(row, item) for row, item, *_ in decontaminate.leaks(pa.array(texts), index)}
+    norm = lambda t: " " + " ".join(decontaminate.plain_words(t)) + " "
+    wanted = {(row, i) for row, t in enumerate(texts) for i, item in items if norm(item) in norm(t)}
+    assert found == wanted and len(wanted) == len(texts)
+    assert not list(decontaminate.leaks(pa.array([*around, None, "", "+ - =", "这里是别的文字" * 500]), index))
+
+
+def test_an_item_with_another_answer_is_found_and_a_part_of_it_is_not():
+    import pyarrow as pa
+
+    rng = random.Random(32)
+    question = some_text(rng, 30).capitalize() + "."
+    index = decontaminate.ItemIndex([(1, question + " Seven."), (2, some_text(rng, 12) + ". " + some_text(rng, 12) + ".")])
+    texts = [some_text(rng, 40) + " " + question + " Eight. " + some_text(rng, 40), some_text(rng, 40) + " " + " ".join(question.split()[:12]) + " " + some_text(rng, 40)]
+    assert {(row, item) for row, item, *_ in decontaminate.leaks(pa.array(texts), index)} == {(0, 0)}
+
+
+def test_scores_do_not_depend_on_passes(spark, monkeypatch):
+    rng = random.Random(33)
+    items = spark.createDataFrame([(i, some_text(rng, rng.choice([9, 20, 60])) + ". " + some_text(rng, 5) + ".") for i in range(25)] + [(30, None), (31, "--")], "item_id long, text string")
+    rows = frame(spark, [(r.item_id, some_text(rng, 30) + " " + (r.text or "") + " " + some_text(rng, 70)) for r in items.collect()] + [(99, some_text(rng, 20000))])
+    one = sorted(map(tuple, decontaminate.find_leaks(rows, items).collect()))
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 7)
+    many = sorted(map(tuple, decontaminate.find_leaks(rows, items).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and len(one) >= 25
+    assert all(abs(a - b) < 1e-12 for x, y in zip(one, many, strict=True) for a, b in zip(x[2:], y[2:], strict=True))
+
+
+def test_stages_take_rows_as_they_come(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    good = ["\n".join(some_text(rng, 12) + "." for _ in range(8)) for _ in range(4)]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").head().text
+    long = "\n".join(some_text(rng, 12) + "." for _ in range(5000))
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (None, good[2]), (None, None), (2, None), (3, ""), (4, good[0]), (5, good[3] + "\n" + item), (6, long), (7, "too short")]
+    docs = spark.createDataFrame([(i, t, "x", 1, b"k", 5) for i, t in rows], "doc_id long, text string, PART string, sequence_id int, row_key binary, item_id long")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        kept[name] = stage(spark, docs, sf_dir)
+        if name != "packing":
+            assert kept[name].schema.simpleString() == docs.schema.simpleString()
+    ids = {name: sorted(((r.doc_id, r.text) for r in found.collect()), key=str) for name, found in kept.items() if name != "packing"}
+    assert ids["quality rules"] == sorted([r for r in rows if r[1] and r[1] != "too short"], key=str)
+    empty = [r for r in rows if not r[1]]
+    assert ids["near-dedup"] == sorted([(1, good[0]), (1, good[1]), (None, good[2]), rows[9], rows[10], rows[11], *empty], key=str)
+    assert ids["decontamination"] == sorted([r for r in rows if r[0] != 5], key=str)
+    pieces = kept["packing"].collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.piece == 0) == sorted(str(i) for i, _ in rows)
+    assert max(r.piece for r in pieces) > 10

@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: quality rules, near-dedup, decontamination, packing."""
+"""A training corpus from raw documents: quality rules, near-dedup, decontamination, packing.
+
+Every stage takes rows as they come: a null text counts as empty, a doc_id may be null or repeated
+and names no row by itself, texts of any length are taken whole, and columns beside doc_id and
+text may have any names. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,22 +17,25 @@ from spindrift.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, each row judged by its own text; null and empty texts go."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id."""
+    """One document of each group of near-duplicates: that with the least doc_id, nulls last.
+
+    Rows that share the least doc_id, and repeats of a row, leave one; texts without words all stay.
+    """
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark, each row judged by its own text; empty texts stay, and null items match nothing."""
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
+    """Where each piece of each document stands in the training sequences; an empty text is its end id alone."""
     return pack_documents(docs)
 
 

@@ -85,8 +85,9 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 1024), (2, 3)])
+def test_components_equal_brute_force(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     rng = random.Random(seed)
     rows, base = [], [some_text(rng, 60).split() for _ in range(4)]
     for i in range(160):
@@ -293,3 +294,17 @@ def test_stages_take_rows_as_they_come(spark, sf_dir):
     pieces = kept["packing"].collect()
     assert sorted(str(r.doc_id) for r in pieces if r.piece == 0) == sorted(str(i) for i, _ in rows)
     assert max(r.piece for r in pieces) > 10
+
+
+def test_texts_that_share_a_passage_are_not_linked_by_it(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    rng = random.Random(51)
+    passage = some_text(rng, 60)
+    rows = [(i, passage + " " + some_text(rng, 25)) for i in range(0, 90, 3)]
+    for i, t in rows[::3]:
+        words = t.split()
+        words[-1] = "changed"
+        rows.append((i + 1, " ".join(words)))
+        rows.append((i + 2, " ".join(words[2:])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) == 30

@@ -10,12 +10,17 @@ A conversation's turns are rendered one after the other with this template::
 Inside texts and role names, a control string gets a backslash after its first character (one
 more if it has some already), so that what is left of it is no control string; reading takes
 one away. The whole rendering is encoded once, with offsets. Control strings are single tokens
-that no other token reaches across. The mask is found by binary search: the turns' text spans
-are sorted, and so are the tokens' spans; a token is trained on if it meets an assistant's span.
-
-A conversation is written as segments of whole turns of at most about ``SEGMENT_CHARS``
-characters. As a control string stands at every cut, a segment's ids are those that it has in
-the whole. Rows are streamed in order, so a conversation of any length takes bounded memory.
+that no other token reaches across, so texts between them are encoded by the batch, and offsets
+follow from the tokens' lengths in bytes. The mask is found by binary search: the turns' text
+spans are sorted, and so are the tokens' spans; a token is trained on if it meets an assistant's
+span.
+
+A conversation is written as segments of about ``SEGMENT_CHARS`` characters at most. They are cut
+between turns, and within a longer turn before a single space between two other characters, which
+the tokenizer's pattern always gives to the word behind it; so a segment's ids are those that it
+has in the whole. Turns are sorted into ranges, so several tasks format a conversation that holds
+a large part of all turns, each in bounded memory. Reading streams the segments of a conversation
+in order; its digest is a hash of all its text, hence one task's sequential work.
 """
 
 from __future__ import annotations
@@ -27,13 +32,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import executors_can_import, settle, tokenizer_path
+from spindrift.llm.common import executors_can_import, release_memory, settle, shuffle_partitions, text_slices, tokenizer_path
+from spindrift.llm.tokens import SAFE_SPACE, encoder
 
 TOKENIZER = "byte_bpe_50k.json"
-SEGMENT_CHARS = 1 << 20
+SEGMENT_CHARS = 1 << 17
+#: Characters of segments that leave a task together.
+BATCH_CHARS = 1 << 20
 ROLES = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("<<ROLE>>", "<<TEXT>>", "<</ROLE>>")
 #: Strings that a text may not hold as they are: the template's, and the tokenizer's own special token.
@@ -42,6 +51,8 @@ CONTROLS = [*(mark for pair in ROLES.values() for mark in pair), *OTHER, "<|endo
 _RESTS = {c: "|".join(regex.escape(x[1:]) for x in CONTROLS if x[0] == c) for c in {x[0] for x in CONTROLS}}
 _PLAIN = regex.compile("|".join(rf"(?<={regex.escape(c)})\\*(?={rest})" for c, rest in _RESTS.items()))
 _ESCAPED = regex.compile("|".join(rf"(?<={regex.escape(c)})\\(?=\\*(?:{rest}))" for c, rest in _RESTS.items()))
+_MAY_HOLD = regex.compile(r"[\[<]").search
+_MARK = regex.compile("|".join(map(regex.escape, sorted(CONTROLS, key=len, reverse=True))))
 _TURN = regex.compile(
     "|".join(f"(?P<{role}>{regex.escape(a)}(?P<{role}_text>.*?){regex.escape(b)})" for role, (a, b) in ROLES.items())
     + f"|(?P<other>{regex.escape(OTHER[0])}(?P<role>.*?){regex.escape(OTHER[1])}(?P<other_text>.*?){regex.escape(OTHER[2])})",
@@ -56,11 +67,11 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.l
 
 
 def escape(text: str) -> str:
-    return _PLAIN.sub(lambda found: found[0] + "\\", text)
+    return _PLAIN.sub(lambda found: found[0] + "\\", text) if _MAY_HOLD(text) else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub("", text)
+    return _ESCAPED.sub("", text) if "\\" in text else text
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -106,58 +117,120 @@ def mask_tokens(starts: np.ndarray, ends: np.ndarray, span_starts: np.ndarray, s
     return (after < len(span_starts)) & (span_starts[near] < ends)
 
 
-def encode_segment(parts: list[tuple[str, str, int, int]], coder) -> dict:
-    """The columns of a segment of rendered turns (role, rendering, text start, text end)."""
+class ChatEncoder:
+    """Ids of rendered pieces, and the characters that they stand for, by a byte-level tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        self.library, self.texts = chat_tokenizer(path), encoder(path)
+        if self.texts.kind != "byte":
+            raise ValueError(f"{path} is no byte-level file: its tokens don't tell their lengths")
+        added = {i: token.content for i, token in self.library.get_added_tokens_decoder().items()}
+        self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            # a character of the file's own alphabet stands for a byte
+            self.lengths[i] = len(added[i].encode()) if i in added else len(token)
+        self._around: dict[str, np.ndarray] = {}
+
+    def around(self, marks: str) -> np.ndarray:
+        """Ids of what stands before or behind a text: marks, and perhaps a role's name."""
+        found = self._around.get(marks)
+        if found is None:
+            found = np.array(self.library.encode(marks, add_special_tokens=False).ids, np.uint32)
+            if len(marks) < 200 and len(self._around) < 1000:
+                self._around[marks] = found
+        return found
+
+    def encode(self, pieces: list[tuple[str, int, int]]) -> list[np.ndarray]:
+        """Ids of each piece (rendering, text start, text end); all texts are encoded together."""
+        ids, bounds = self.texts.encode(pa.array([piece[start:end] for piece, start, end in pieces], pa.large_string()))
+        return [np.concatenate((self.around(piece[:start]), ids[a:b], self.around(piece[end:]))) for (piece, start, end), a, b in zip(pieces, bounds, bounds[1:], strict=False)]
+
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each token, and the one behind its last; a token may hold a part of a character."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        if not text.isascii():
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            character = np.cumsum((raw & 0xC0) != 0x80) - 1
+            starts, ends = character[starts], character[ends - 1] + 1
+        if len(ids) and ends[-1] != len(text):
+            raise ValueError("tokens don't cover the text")
+        return starts.astype(np.int32), ends.astype(np.int32)
+
+
+@lru_cache(maxsize=1)
+def chat_encoder(path: str) -> ChatEncoder:
+    return ChatEncoder(path)
+
+
+def make_segment(parts: list[tuple[str, str, int, int]], ids: list[np.ndarray], coder: ChatEncoder) -> dict:
+    """The columns of a segment of rendered turns or parts of one (role, rendering, text start, text end) and their ids."""
     sizes = np.array([len(rendered) for _, rendered, _, _ in parts])
     shift = np.cumsum(sizes) - sizes
     turn_starts = shift + [start for _, _, start, _ in parts]
     turn_ends = shift + [end for _, _, _, end in parts]
     trained = np.array([role == "assistant" for role, *_ in parts], bool)
-    text = "".join(rendered for _, rendered, _, _ in parts)
-    found = coder.encode(text, add_special_tokens=False)
-    offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+    text, all_ids = "".join(rendered for _, rendered, _, _ in parts), np.concatenate(ids)
+    starts, ends = coder.spans(text, all_ids)
     some = trained & (turn_ends > turn_starts)
-    mask = mask_tokens(offsets[:, 0], offsets[:, 1], turn_starts[some], turn_ends[some])
     return {
-        "text": text, "ids": np.array(found.ids, np.int32), "starts": offsets[:, 0].astype(np.int32), "ends": offsets[:, 1].astype(np.int32), "loss_mask": mask,
+        "text": text, "ids": all_ids.astype(np.int32), "starts": starts, "ends": ends, "loss_mask": mask_tokens(starts, ends, turn_starts[some], turn_ends[some]),
         "turn_starts": turn_starts.astype(np.int32), "turn_ends": turn_ends.astype(np.int32), "trained": trained,
     }
 
 
-def _by_conversation(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+def pieces_of(rendered: str, start: int, end: int, most: int) -> Iterator[tuple[str, int, int]]:
+    """A rendered turn in pieces of about ``most`` characters: (piece, text start, text end) in each."""
+    low = 0
+    while low < len(rendered):
+        # never within a mark: from the text's second character to its last but one
+        found = SAFE_SPACE.search(rendered, max(low + most, start + 1), max(end - 1, 0)) if len(rendered) - low > most else None
+        high = found.start() if found else len(rendered)
+        inside = min(max(start - low, 0), high - low), min(max(end - low, 0), high - low)
+        yield rendered[low:high], *inside
+        low = high
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Segments (``SEGMENTS``) of all conversations (conv_id, turn, role, text).
+    """Segments (``SEGMENTS``) of all conversations (conv_id, turn, role, text), numbered in order.
 
     Rows are ordered by turn, nulls first, then by role and text; rows with equal turns all
     count. Null texts and roles are empty ones. A null conv_id is a conversation of its own.
+    Texts of any length are taken whole, other columns left alone; no rows give no segments.
     """
-    executors_can_import(conversations.sparkSession)
+    spark = conversations.sparkSession
+    executors_can_import(spark)
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chat_tokenizer(tokenizer_path(tokenizer))
-        open_id, segment, parts, held, done = None, 0, [], 0, []
+        coder = chat_encoder(tokenizer_path(tokenizer))
+        # a conversation goes on in the next task, whose number is larger
+        open_id, segment, parts, found, held, done, waiting = None, TaskContext.get().partitionId() << 32, [], [], 0, [], 0
 
         def close() -> None:
-            nonlocal parts, held, segment
+            nonlocal parts, found, held, segment, waiting
             if parts:
-                done.append({"conv_id": open_id, "segment": segment} | encode_segment(parts, coder))
-                parts, held, segment = [], 0, segment + 1
-
-        for batch in batches:
-            for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if conv_id != open_id:
+                done.append({"conv_id": open_id, "segment": segment} | make_segment(parts, found, coder))
+                waiting += held
+                parts, found, held, segment = [], [], 0, segment + 1
+
+        for batch in text_slices(batches, BATCH_CHARS):
+            turns = [
+                (conv_id, role, piece)
+                for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
+                for piece in pieces_of(*render(role, text), segment_chars)
+            ]
+            for (conv_id, role, piece), ids in zip(turns, coder.encode([piece for _, _, piece in turns]), strict=True):
+                if conv_id != open_id or (held and held + len(piece[0]) > segment_chars):
                     close()
-                    open_id, segment = conv_id, 0
-                elif held >= segment_chars:
-                    close()
-                parts.append((role, *render(role, text)))
-                held += len(parts[-1][1])
-            while done:
-                yield _batch(done)
-                done.clear()
+                    open_id = conv_id
+                parts.append((role, *piece))
+                found.append(ids)
+                held += len(piece[0])
+                if waiting >= BATCH_CHARS:
+                    yield _batch(done)
+                    done.clear()
+                    waiting = 0
         close()
         if done:
             yield _batch(done)
@@ -165,7 +238,8 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER, s
     rows = conversations.select(
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    return _by_conversation(rows, "turn", "role", "text").mapInArrow(formatted, SEGMENTS)
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.mapInArrow(formatted, SEGMENTS)
 
 
 def _batch(segments: list[dict]) -> pa.RecordBatch:
@@ -173,60 +247,124 @@ def _batch(segments: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[name] for s in segments], kind) for name, kind in zip(names, _TYPES, strict=True)], names=names)
 
 
-def masked_texts(text: str, starts: list[int], ends: list[int], mask: list[bool], spans: list[tuple[int, int]]) -> Iterator[str]:
+def masked_texts(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> Iterator[str]:
     """What the masked tokens cover of each trained span, unescaped, span by span."""
-    at, n = 0, len(starts)
+    starts, ends = starts[mask], ends[mask]
+    # a character of several bytes may be shared by tokens: each token adds what lies behind all earlier ones
+    reached = np.maximum.accumulate(ends) if len(ends) else ends
+    whole = np.ones(len(starts), bool)
+    whole[1:] = starts[1:] <= reached[:-1]
+    gaps = np.cumsum(~whole)
     for low, high in spans:
-        pieces, reached = [], low
-        while at < n and ends[at] <= low:
-            at += 1
-        while at < n and starts[at] < high:
-            if mask[at] and ends[at] > reached:
-                # a character of several bytes may be shared by tokens: take it once
-                pieces.append(text[max(starts[at], reached) : min(ends[at], high)])
-                reached = min(ends[at], high)
-            at += 1
-        yield unescape("".join(pieces))
+        first, last = np.searchsorted(reached, low, side="right"), np.searchsorted(starts, high, side="left")
+        if first >= last:
+            yield ""
+        elif gaps[first] == gaps[last - 1]:
+            yield unescape(text[max(starts[first], low) : min(reached[last - 1], high)])
+        else:
+            at, pieces = low, []
+            for start, end in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True):
+                pieces.append(text[max(start, at) : min(end, high)])
+                at = max(at, end)
+            yield unescape("".join(pieces))
+
+
+class Reader:
+    """Follows a conversation's segments in order: turns by their marks, and the text under the mask."""
+
+    def __init__(self, conv_id: int | None) -> None:
+        self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = self.tokens = self.loss_tokens = 0
+        self.role: str | None = None
+        self.closing: str | None = None  # the mark that ends what is open
+        self.name: list[str] = []
+
+    def take(self, text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> None:
+        spans: list[tuple[int, int]] = []
+        at = 0
+        for found in _MARK.finditer(text):
+            self._inside(text[at : found.start()], at, spans)
+            self._mark(found[0])
+            at = found.end()
+        self._inside(text[at:], at, spans)
+        for masked in masked_texts(text, starts, ends, mask, spans):
+            self.loss.update(masked.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(masked)
+        self.chars += len(text)
+        self.tokens += len(starts)
+        self.loss_tokens += int(mask.sum())
+
+    def _inside(self, piece: str, at: int, spans: list[tuple[int, int]]) -> None:
+        if not piece:
+            return
+        if self.closing is None:
+            raise ValueError(f"text outside turns: {piece[:40]!r}")
+        if self.closing == OTHER[1]:
+            self.name.append(piece)
+            return
+        self.turns.update(unescape(piece).encode("utf-8", "surrogatepass"))
+        if self.role == "assistant":
+            spans.append((at, at + len(piece)))
+
+    def _mark(self, mark: str) -> None:
+        if self.closing is None:
+            if mark == OTHER[0]:
+                self.role, self.closing, self.name = None, OTHER[1], []
+                return
+            self.role = next((role for role, (before, _) in ROLES.items() if before == mark), None)
+            if self.role is None:
+                raise ValueError(f"no turn begins with {mark}")
+            self._begin(self.role, ROLES[self.role][1])
+        elif mark != self.closing:
+            raise ValueError(f"{mark} within a turn")
+        elif mark == OTHER[1]:
+            self._begin(unescape("".join(self.name)), OTHER[2])
+        else:
+            self.turns.update(b"\n")
+            self.n_turns += 1
+            self.closing = None
+
+    def _begin(self, role: str, closing: str) -> None:
+        self.turns.update(f"{role}\n".encode("utf-8", "surrogatepass"))
+        self.closing = closing
+
+    def digest(self) -> dict:
+        if self.closing is not None:
+            raise ValueError(f"conversation {self.conv_id} ends within a turn")
+        return {
+            "conv_id": self.conv_id, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(),
+            "formatted_chars": self.chars, "n_tokens": self.tokens, "loss_tokens": self.loss_tokens,
+        }
 
 
 def read_back(segments: DataFrame) -> DataFrame:
     """What the segments hold of each conversation, parsed from their text and read under their mask.
 
     conv_id, n_turns, turns_sha256 (role, line end, text, line end of each turn), loss_chars,
-    loss_sha256 (of the masked text), formatted_chars, n_tokens, loss_tokens.
+    loss_sha256 (of the masked text), formatted_chars, n_tokens, loss_tokens. A segment that is
+    missing within a turn, or text outside turns, is an error.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                # one row at a time: lists of Python numbers take many times an Arrow array's memory
-                row = {name: batch.column(name)[i].as_py() for name in ("conv_id", "text")}
-                row |= {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in ("starts", "ends", "loss_mask")}
-                if now is None or now["conv_id"] != row["conv_id"]:
+            names, texts = batch.column("conv_id").to_pylist(), batch.column("text")
+            lists = [batch.column(c) for c in ("starts", "ends", "loss_mask")]
+            for i, conv_id in enumerate(names):
+                if now is None or now.conv_id != conv_id:
                     if now:
-                        done.append(_closed(now))
-                    now = {"conv_id": row["conv_id"], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "counts": [0] * 5}
-                spans = []
-                for role, text, start, end in turns(row["text"]):
-                    now["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    now["counts"][0] += 1
-                    if role == "assistant" and end > start:
-                        spans.append((start, end))
-                for text in masked_texts(row["text"], row["starts"].tolist(), row["ends"].tolist(), row["loss_mask"].tolist(), spans):
-                    now["loss"].update(text.encode("utf-8", "surrogatepass"))
-                    now["counts"][1] += len(text)
-                for k, n in ((2, len(row["text"])), (3, len(row["starts"])), (4, int(row["loss_mask"].sum()))):
-                    now["counts"][k] += n
+                        done.append(now.digest())
+                    now = Reader(conv_id)
+                now.take(texts[i].as_py(), *(x[i].values.to_numpy(zero_copy_only=False) for x in lists))
             if done:
                 yield pa.RecordBatch.from_pylist(done, _DIGEST)
                 done = []
         if now:
-            yield pa.RecordBatch.from_pylist([*done, _closed(now)], _DIGEST)
+            yield pa.RecordBatch.from_pylist([*done, now.digest()], _DIGEST)
+        release_memory()
 
-    return _by_conversation(segments.select("conv_id", "segment", "text", "starts", "ends", "loss_mask"), "segment").mapInArrow(
-        digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
-    )
+    rows = segments.select("conv_id", "segment", "text", "starts", "ends", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return rows.mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")
 
 
 _DIGEST = pa.schema(
@@ -234,14 +372,6 @@ _DIGEST = pa.schema(
 )
 
 
-def _closed(now: dict) -> dict:
-    counts = now["counts"]
-    return {
-        "conv_id": now["conv_id"], "n_turns": counts[0], "turns_sha256": now["turns"].hexdigest(), "loss_chars": counts[1], "loss_sha256": now["loss"].hexdigest(),
-        "formatted_chars": counts[2], "n_tokens": counts[3], "loss_tokens": counts[4],
-    }
-
-
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"

@@ -112,3 +112,8 @@ def probe_position(depth: Column, ap: Column, ml: Column, pitch: Column, roll: C
     a, b = F.radians(pitch), F.radians(roll)
     side = F.when(right, F.lit(1.0)).otherwise(F.lit(-1.0))
     return ap + depth * F.sin(a), ml + side * depth * F.sin(b), depth * F.cos(a) * F.cos(b)
+
+
+def onto_x(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Azimuth and pitch (radians) that turn a direction onto the x axis."""
+    return F.atan2(y, x), F.atan2(z, F.sqrt(x * x + y * y))

@@ -82,10 +82,6 @@ def peak_exceeds(curves: DataFrame, units: list[str], radius: int = 1) -> DataFr
     return near.groupBy(*units, "peak_bin", "peak_rate").agg(F.bool_and("over").alias("exceeds"))
 
 
-def grid_2d(spark: SparkSession, nx: int, ny: int) -> DataFrame:
-    return spark.range(nx * ny).select((F.col("id") / ny).cast("int").alias("bx"), (F.col("id") % ny).cast("int").alias("by"))
-
-
 def shuffled_maps(spikes: DataFrame, lags: DataFrame, bin_after: Callable[[Column], Column], units: list[str]) -> DataFrame:
     """Counts per unit, shuffle and bin of spikes moved by each shuffle's lag: aggregated, never kept as a cube."""
     moved = spikes.crossJoin(F.broadcast(lags))  # a fixed number of shuffles

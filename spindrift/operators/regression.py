@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.bins import md5_uniform
 from spindrift.operators.resampling import signed_rank_exact_greater
 
 FOLDS, L1, ALPHA = 10, 1e-4, 0.01
@@ -33,6 +34,13 @@ def assign_folds(frames: DataFrame, unit: str = "unit", frame: str = "frame", y:
     return rows.withColumn("fold", F.coalesce("seed", block % folds).cast("int")).drop("seed", "rest", "left")
 
 
+def plain_folds(frames: DataFrame, method: str, unit: str = "unit", frame: str = "frame", folds: int = FOLDS, repeat: int = 0) -> DataFrame:
+    """Folds of a unit's frames: ``block``, consecutive ones together; or ``random``, by a hash, anew for each ``repeat``."""
+    order = [F.col(frame)] if method == "block" else [md5_uniform(F.lit("fold"), F.lit(repeat), unit, frame), F.col(frame)]
+    place, n = F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1, F.count("*").over(Window.partitionBy(unit))
+    return frames.withColumns({"place": place, "n": n}).withColumn("fold", (F.floor(F.col("place") * folds / F.col("n")) if method == "block" else F.col("place") % folds).cast("int")).drop("place", "n")
+
+
 def design_counts(frames: DataFrame, features: list[str], unit: str = "unit", y: str = "y") -> DataFrame:
     """Frames and spikes for each unit, fold and combination of bins; frames without a bin in some feature don't count."""
     return frames.dropna(subset=features).groupBy(unit, "fold", *features).agg(F.count("*").alias("n"), F.sum((F.col(y) > 0).cast("int")).alias("spikes"))

@@ -122,8 +122,3 @@ def quota_sample(pairs: DataFrame, strata: list[str], quotas: DataFrame, shuffle
     draws = pairs.join(quotas, strata).withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
     order = Window.partitionBy("shuffle_id", *strata).orderBy(md5_uniform(F.lit(salt), "shuffle_id", *pair_id), *pair_id)
     return draws.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("quota")).drop("nth", "quota")
-
-
-def permuted(rows: DataFrame, order: str, salt: str) -> DataFrame:
-    """A random place (from 0) for each row of a small series, by the hash of its key."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(md5_uniform(F.lit(salt), order), order)) - 1)

@@ -119,8 +119,3 @@ def fit_decay(x: np.ndarray, y: np.ndarray, mu: float, sigma: float, betas: np.n
         c, *_ = np.linalg.lstsq(a, y, rcond=None)
         best = min(best, (float(((a @ c - y) ** 2).sum()), float(c[0]), float(beta), float(c[1])))
     return best[1:]
-
-
-def optimal_rotation(x: float, y: float, z: float) -> tuple[float, float]:
-    """Azimuth and pitch that turn a mean direction onto the x axis."""
-    return float(np.arctan2(y, x)), float(np.arctan2(z, np.hypot(x, y)))

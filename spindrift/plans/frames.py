@@ -119,9 +119,9 @@ def decoding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sensor variants of the same frames side by side, the second's columns under a prefix; their keys must agree."""
-    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    items = load(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("cf_totalprice"))
-    return orders.join(items, "o_orderkey").select("o_orderkey", "o_totalprice", "cf_totalprice")
+    items = load(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice").groupBy("l_orderkey")
+    one, two = items.agg(F.sum("l_quantity").alias("total")), items.agg(F.round(F.sum("l_extendedprice"), 2).alias("cf_total"))
+    return joins.merged(one, two, ["l_orderkey"])
 
 
 def session_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ ORACLE_SQL = {
     "decoding_summary": """
         WITH s AS (SELECT l_linenumber, l_returnflag, avg(l_discount * 10) AS m, quantile_cont(l_discount * 10, 0.005) AS lo, quantile_cont(l_discount * 10, 0.995) AS hi, stddev_samp(l_discount * 10) / sqrt(count(*)) AS e FROM lineitem GROUP BY ALL)
         SELECT l_linenumber, round(min(m), 6) AS least, round(max(m), 6) AS most, round(max(e), 6) AS sem, round(min(lo), 6) AS low, round(max(hi), 6) AS high FROM s GROUP BY l_linenumber""",
-    "merged_variants": "SELECT o_orderkey, o_totalprice, round(sum(l_extendedprice), 2) AS cf_totalprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
+    "merged_variants": "SELECT l_orderkey, sum(l_quantity) AS total, round(sum(l_extendedprice), 2) AS cf_total FROM lineitem GROUP BY ALL",
     "session_triples": """
         WITH o AS (SELECT o_custkey, o_orderstatus AS s, min(o_orderkey) AS k FROM orders GROUP BY ALL)
         SELECT a.o_custkey, a.k AS first, b.k AS second, c.k AS third FROM o a JOIN o b USING (o_custkey) JOIN o c USING (o_custkey) WHERE a.s = 'F' AND b.s = 'O' AND c.s = 'P'""",

@@ -125,7 +125,7 @@ def _shuffled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def peak_exceeds_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     real, cells = _shuffled(spark, sf_dir)
     null = cells.groupBy("unit", "bin").agg(F.avg("n").alias("sh_mean"), F.stddev_pop("n").alias("sh_std"))
-    return maps.peak_exceeds(real.join(null, ["unit", "bin"]), ["unit"], radius=0)
+    return maps.peak_exceeds(real.join(null, ["unit", "bin"]), ["unit"])
 
 
 def shuffle_percentile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ ORACLE_SQL = {
         real AS (SELECT unit, floor(us % {24 * _HOUR} / {_HOUR})::INT AS bin, count(*) AS n FROM e GROUP BY ALL),
         r AS (SELECT null_.*, coalesce(real.n, 0) AS rate FROM null_ LEFT JOIN real USING (unit, bin)),
         p AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY rate DESC, bin) AS k FROM r)
-        SELECT unit, bin AS peak_bin, rate AS peak_rate, rate > m + 3 * s AS exceeds FROM p WHERE k = 1""",
+        SELECT p.unit, p.bin AS peak_bin, p.rate AS peak_rate, bool_and(r.rate > r.m + 3 * r.s) AS exceeds FROM p JOIN r ON r.unit = p.unit AND abs(r.bin - p.bin) <= 1 WHERE k = 1 GROUP BY ALL""",
     "shuffle_percentile_band": f"WITH {_sh_sql()} SELECT unit, bin, round(quantile_cont(n, 0.005), 6) AS low, round(quantile_cont(n, 0.995), 6) AS high FROM cells GROUP BY unit, bin",
     "curve_summary": f"""
         WITH {_MAP}, k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY raw DESC, bin) AS hi, row_number() OVER (PARTITION BY unit ORDER BY raw, bin) AS lo FROM m)

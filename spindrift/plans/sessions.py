@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import md5_uniform
-from spindrift.operators import decoding, maps, pairs, windows
+from spindrift.functions.places import scratch
+from spindrift.operators import decoding, geometry, joins, maps, pairs, regression, windows
 from spindrift.plans.maps import _B, _BINS, FRAME_S, _frames, _sh_sql, _shuffled
 from spindrift.plans.models import _V, _vectors
+from spindrift.sources import tables
 from spindrift.sources.tables import load, spikes
+from spindrift.streaming import counts
 
 HOUR, WEEK = 3_600_000_000, 604_800_000_000
 
@@ -76,7 +79,71 @@ def decoder_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run", "shuffle_id", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
-QUERIES = {f.__name__: f for f in (common_event_count, ratemap_pairs, running_mean, paired_files, name_tokens, shuffled_stability, decoder_runs)}
+def unpivot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a row for each of three figures."""
+    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return tables.unpivoted(rows, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+
+
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, missing values, extremes and mean of the numeric columns of orders and events' values."""
+    orders = tables.profile(load(spark, sf_dir, "orders", "o_custkey", "o_totalprice"), ["o_custkey", "o_totalprice"])
+    found = orders.unionByName(tables.profile(load(spark, sf_dir, "events", "value"), ["value"]))
+    return found.select("column", "n", "missing", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), F.round("mean", 4).alias("mean"))
+
+
+def grouped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each group, from a map of group name to unit ids as it is kept in JSON."""
+    suppliers = load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").groupBy((F.col("s_nationkey") % 5).cast("string").alias("g")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("ids"))
+    document = suppliers.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("g", "ids")))).alias("json"))  # a group's list is what the file holds
+    return tables.explode_groups(document.select(F.from_json("json", "map<string, array<bigint>>").alias("groups")))
+
+
+def first_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three suppliers of each nation, by balance."""
+    suppliers = load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    return joins.first_rows(suppliers, ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 3)
+
+
+def checked_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by the sign of their modulation where it is sure and a control isn't."""
+    parts = load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    index, p, check = F.col("p_size") - 25, (F.col("p_partkey") % 100) / 100, (F.col("p_partkey") % 7) / 10
+    return parts.select("p_partkey", joins.modulation_class(index, p, 0.3, check).alias("kind"))
+
+
+def fold_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of each type's hours in blocks, and at random in two repeats."""
+    hours = spikes(spark, sf_dir, "event_type").select("event_type", F.expr(f"us div {HOUR}").alias("frame")).distinct()
+    found = [regression.plain_folds(hours, method, "event_type", "frame", 5, repeat).withColumn("method", F.lit(f"{method} {repeat}")) for method, repeat in (("block", 0), ("random", 0), ("random", 1))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def probe_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of sites along leaning probes, and head angles where they mean something."""
+    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    at = geometry.probe_position(F.col("l_quantity") / 10, F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") - 25, F.col("l_discount") * 100, F.col("l_returnflag") == "R")
+    roll, azimuth = geometry.valid_angles(F.col("l_quantity") * 3 - 90, F.col("l_quantity") * 7 - 180, F.col("l_discount") * 10)
+    return rows.select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(name) for c, name in zip(at, ("ap", "ml", "dv"), strict=True)), roll.alias("roll"), azimuth.alias("azimuth"))
+
+
+def mean_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Azimuth and pitch that turn each label's mean direction, the first three entries, onto the x axis."""
+    rows = load(spark, sf_dir, "embeddings", "label", "embedding")
+    means = rows.groupBy("label").agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(c) for i, c in enumerate("xyz")))
+    azimuth, pitch = geometry.onto_x(F.col("x"), F.col("y"), F.col("z"))
+    return means.select("label", F.round(azimuth, 6).alias("azimuth"), F.round(pitch, 6).alias("pitch"))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' sessions from a stream of the events file: those that the watermark has closed."""
+    path = scratch(spark, "sessions")
+    counts.run_once(counts.sessions(counts.read_events(spark, sf_dir)), path, scratch(spark, "state"))
+    found = spark.read.schema("w struct<start: timestamp, end: timestamp>, user_id bigint, n bigint").parquet(path)
+    return found.select("user_id", (F.unix_micros("w.start") - F.lit(1704067200000000)).alias("first_us"), (F.unix_micros("w.end") - F.lit(1704067200000000)).alias("end_us"), "n")
+
+
+QUERIES = {f.__name__: f for f in (common_event_count, ratemap_pairs, running_mean, paired_files, name_tokens, shuffled_stability, decoder_runs, unpivot_scan, column_profile, grouped_units, first_units, checked_modulation, fold_methods, probe_positions, mean_directions, stream_sessions)}
 
 _U = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0"
 _H = f"h AS (SELECT event_type, (epoch_us(ts) - 1704067200000000) // {HOUR} AS frame FROM events)"
@@ -116,4 +183,29 @@ ORACLE_SQL = {
         q AS (SELECT s::INT AS s, label, row_number() OVER (PARTITION BY s ORDER BY {_U("'labels|' || s || '|' || id")}, id) AS place FROM t CROSS JOIN range({LABEL_SHUFFLES}) r(s)),
         l AS (SELECT -1 AS s, id, label FROM t UNION ALL SELECT q.s, o.id, q.label FROM o JOIN q USING (place))
         SELECT run::INT AS run, s AS shuffle_id, count(*) AS n, round(avg((l.label = truth)::INT), 6) AS accuracy FROM p JOIN l ON l.id = p.nearest WHERE k = 1 GROUP BY ALL""",
+    "unpivot_scan": "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))",
+    "column_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, round(min({c})::DOUBLE, 4) AS least, round(max({c})::DOUBLE, 4) AS most, round(avg({c}), 4) AS mean FROM {t}"
+        for t, c in (("orders", "o_custkey"), ("orders", "o_totalprice"), ("events", "value"))
+    ),
+    "grouped_units": "SELECT (s_nationkey % 5)::VARCHAR AS unit_type, s_suppkey AS unit_id FROM supplier",
+    "first_units": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) <= 3",
+    "checked_modulation": """
+        SELECT p_partkey, CASE WHEN p_partkey % 100 / 100.0::DOUBLE < 0.3 AND p_partkey % 7 / 10.0::DOUBLE > 0.3 AND p_size < 25 THEN 'sign neg'
+            WHEN p_partkey % 100 / 100.0::DOUBLE < 0.3 AND p_partkey % 7 / 10.0::DOUBLE > 0.3 AND p_size > 25 THEN 'sign pos' ELSE 'ns' END AS kind FROM part""",
+    "fold_methods": f"""
+        WITH {_H}, d AS (SELECT DISTINCT event_type, frame FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY frame) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+        r AS (SELECT event_type, frame, i, row_number() OVER (PARTITION BY i, event_type ORDER BY {_U("'fold|' || i || '|' || event_type || '|' || frame")}, frame) - 1 AS place FROM d CROSS JOIN range(2) t(i))
+        SELECT event_type, frame, (place * 5 // n)::INT AS fold, 'block 0' AS method FROM b UNION ALL SELECT event_type, frame, (place % 5)::INT, 'random ' || i FROM r""",
+    "probe_positions": """
+        WITH a AS (SELECT *, l_quantity / 10 AS d, radians(l_quantity - 25) AS p, radians(l_discount * 100) AS r, abs(l_discount * 10) <= 0.9 AS fine FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(l_discount + d * sin(p), 6) AS ap, round(l_tax + CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END * d * sin(r), 6) AS ml, round(d * cos(p) * cos(r), 6) AS dv,
+            CASE WHEN fine THEN l_quantity * 3 - 90 END AS roll, CASE WHEN fine THEN l_quantity * 7 - 180 END AS azimuth FROM a""",
+    "mean_directions": """
+        WITH m AS (SELECT label, avg(embedding[1]::DOUBLE) AS x, avg(embedding[2]::DOUBLE) AS y, avg(embedding[3]::DOUBLE) AS z FROM embeddings GROUP BY label)
+        SELECT label, round(atan2(y, x), 6) AS azimuth, round(atan2(z, sqrt(x * x + y * y)), 6) AS pitch FROM m""",
+    "stream_sessions": f"""
+        WITH e AS (SELECT user_id, epoch_us(ts) - 1704067200000000 AS us FROM events), g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >= {6 * HOUR} AS opens FROM e),
+        s AS (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(us) AS first_us, max(us) + {6 * HOUR} AS end_us, count(*) AS n FROM s GROUP BY user_id, k HAVING max(us) + {6 * HOUR} <= (SELECT max(us) - {24 * HOUR} FROM e)""",
 }

@@ -39,6 +39,18 @@ def spikes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return load(spark, sf_dir, "events", "user_id", "ts", *more).select(F.col("user_id").alias("unit"), micros().alias("us"), *more)
 
 
+def unpivoted(rows: DataFrame, keys: list[str], values: list[str], name: str = "name", value: str = "value") -> DataFrame:
+    """A row for each of the ``values`` columns of a row: keys, the column's name, and its value as a double."""
+    return rows.select(*keys, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(keys, values, name, value)
+
+
+def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, missing, least, most, mean) of numeric columns, from one scan."""
+    stats = [F.struct(F.count(c).alias("n"), F.count(F.when(F.col(c).isNull(), 1)).alias("missing"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("most"), F.avg(c).alias("mean")).alias(c) for c in columns]
+    wide = rows.agg(*stats)
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns))).alias("x")).select("x.column", "x.s.*")
+
+
 def without_sentinels(value: str, limit: float = 100.0) -> Column:
     """Tracker values beyond the limit are missing."""
     return F.when(F.abs(F.col(value)) <= limit, F.col(value))
@@ -59,23 +71,41 @@ def explode_groups(groups: DataFrame, column: str = "groups") -> DataFrame:
     return groups.select(F.explode(column).alias("unit_type", "unit_ids")).select("unit_type", F.explode("unit_ids").alias("unit_id"))
 
 
-def raw_channels(spark: SparkSession, path: str, channels: int) -> DataFrame:
-    """Interleaved int16 recordings below ``path`` as (path, sample, values), decoded inside tasks."""
+def file_ranges(spark: SparkSession, path: str, record_bytes: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(path, start, bytes): the files below ``path`` in ranges of whole records; what is left of a record at the end is left out."""
+    step = max(1, most_bytes // record_bytes) * record_bytes
+    whole = listing(spark, path).withColumn("bytes", F.col("bytes") - F.col("bytes") % record_bytes).where("bytes > 0")
+    ranges = whole.select("path", F.col("bytes").alias("end"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(step).cast("bigint"))).alias("start"))
+    return ranges.select("path", "start", F.least(F.lit(step), F.col("end") - F.col("start")).alias("bytes"))
+
+
+def raw_channels(spark: SparkSession, path: str, channels: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Interleaved int16 recordings below ``path`` as (path, sample, values); a task reads one range of a file."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyarrow import fs
 
     def decode(batches):
         for batch in batches:
-            for path_, content in zip(batch["path"], batch["content"], strict=True):
-                data = np.frombuffer(content, "<i2")
-                data = data[: len(data) // channels * channels].reshape(-1, channels)
-                yield pd.DataFrame({"path": path_, "sample": np.arange(len(data)), "values": list(data.astype(np.int32))})
+            for path_, start, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "bytes")), strict=True):
+                system, at = fs.FileSystem.from_uri(path_)
+                with system.open_input_file(at) as file:
+                    file.seek(start)
+                    data = np.frombuffer(file.read(size), "<i2").astype(np.int32)
+                n = len(data) // channels
+                values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * channels, pa.int32()), pa.array(data))
+                yield pa.RecordBatch.from_arrays([pa.array([path_] * n, pa.string()), pa.array(start // (2 * channels) + np.arange(n)), values], names=["path", "sample", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, sample bigint, values array<int>")
+    ranges = file_ranges(spark, path, 2 * channels, most_bytes)
+    spread = ranges.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "start")  # few rows, each megabytes
+    return spread.mapInArrow(decode, "path string, sample bigint, values array<int>")
 
 
 def spectrum(spark: SparkSession, path: str, rate: float) -> DataFrame:
-    """Magnitudes ``2 / n * |FFT|`` of int16 mono sound files (path, hz, magnitude); a WAV header is skipped."""
+    """Magnitudes ``2 / n * |FFT|`` of int16 mono sound files (path, hz, magnitude); a WAV header is skipped.
+
+    A transform needs a whole sound, so a file is one task's row; sounds are short.
+    """
     import numpy as np
     import pandas as pd
 
@@ -93,7 +123,7 @@ def spectrum(spark: SparkSession, path: str, rate: float) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below ``path`` whose names fit: path and bytes; contents aren't read."""
+    """Files below ``path`` whose names fit: path and bytes; contents aren't read, and empty files are left out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", F.col("length").alias("bytes"))
 
 

@@ -244,3 +244,30 @@ def test_spectrum_and_raw_channels(spark, tmp_path):
     top = tables.spectrum(spark, str(tmp_path), 1000.0).orderBy(F.desc("magnitude")).head()
     assert top.hz == 50.0 and abs(top.magnitude - 1000) < 5
     assert tables.raw_channels(spark, str(tmp_path), 4).count() == 250
+
+
+@pytest.mark.parametrize("most", [8, 24, 1 << 20])
+def test_recordings_are_read_by_ranges(spark, tmp_path, most):
+    data = np.arange(2 * 4 * 25 + 3, dtype="<i2")
+    data.tofile(tmp_path / "a.bin")
+    (tmp_path / "empty.bin").touch()
+    ranges = tables.file_ranges(spark, str(tmp_path), 8, most).collect()
+    assert sum(r.bytes for r in ranges) == 400 and all(r.bytes <= most and r.bytes % 8 == 0 for r in ranges)
+    got = sorted(tables.raw_channels(spark, str(tmp_path), 4, most).collect(), key=lambda r: r["sample"])
+    assert [r["sample"] for r in got] == list(range(50)) and [x for r in got for x in r["values"]] == list(range(200))
+    assert [(r.path.rsplit("/", 1)[1], r.bytes) for r in tables.listing(spark, str(tmp_path), "*.bin").collect()] == [("a.bin", 406)]
+
+
+def test_variants_must_have_the_same_keys(spark):
+    one, two = (spark.createDataFrame(rows, f"k long, {c} string") for rows, c in (([(1, "a"), (2, "b")], "x"), ([(2, "c"), (1, "d")], "y")))
+    assert values(joins.merged(one, two, ["k"]), "k", "x", "y") == [(1, "a", "d"), (2, "b", "c")]
+    for a, b in ((one.limit(1), two), (one, two.limit(1))):
+        with pytest.raises(Exception, match="only one variant"):
+            joins.merged(a, b, ["k"]).collect()
+
+
+def test_decays_are_recovered():
+    x = np.linspace(0.1, 10, 80)
+    for a, beta, b in ((2.0, 1.5, 0.5), (-1.0, 4.0, 0.0)):
+        found = signal.fit_decay(x, a * np.exp(-x / beta) + b * np.exp(-0.5 * ((x - 6) / 0.8) ** 2), 6, 0.8)
+        assert np.allclose(found, (a, beta, b), rtol=0.06, atol=0.05)

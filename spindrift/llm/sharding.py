@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import executors_can_import, fresh_path
+from spindrift.llm.common import executors_can_import, fresh_path, shuffle_partitions
 
 #: Bytes of records that a bucket holds on average, and the fixed cost of a record.
 BUCKET_BYTES, RECORD_BYTES = 8 << 20, 16
@@ -46,7 +46,8 @@ def shard_records(docs: DataFrame, folder: str, shards: int = 40, seed: int = SE
 
     Returns the written rows: doc_id, text, size, shard, grown_shard, bucket, place (within the
     bucket). ``size`` is the UTF-8 bytes of the text, none for a null text, plus 16. Rows of
-    equal doc_id share a shard; a null doc_id counts as a value of its own.
+    equal doc_id share a shard; a null doc_id counts as a value of its own. Other columns are
+    left out; an empty table gives an empty folder.
     """
     spark = docs.sparkSession
     executors_can_import(spark)
@@ -67,7 +68,9 @@ def shard_records(docs: DataFrame, folder: str, shards: int = 40, seed: int = SE
         place = pa.array(np.arange(bucket.num_rows), pa.int64())
         return bucket.take(pa.array(at)).drop_columns("row").append_column("place", place)
 
-    done = rows.groupBy("shard", "bucket").applyInArrow(shuffled, "doc_id bigint, text string, shard int, grown_shard int, bucket int, place bigint")
+    # tasks by the data's size: eight buckets or so for each, one after the other
+    tasks = max(shuffle_partitions(spark), -(-total // (8 * bucket_bytes)))
+    done = rows.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffled, "doc_id bigint, text string, shard int, grown_shard int, bucket int, place bigint")
     done.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     written = spark.read.schema("doc_id bigint, text string, grown_shard int, bucket int, place bigint, shard int").parquet(folder)
     return written.withColumn("size", size)
@@ -80,10 +83,9 @@ def shard_digest(written: DataFrame) -> DataFrame:
     """
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    return written.join(before, ["shard", "bucket"]).select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard",
-        (F.col("before") + F.col("place")).alias("slot"), "grown_shard", "bucket",
-    )
+    # checksums first: the join then moves no text
+    rows = written.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
+    return rows.join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard", "bucket")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

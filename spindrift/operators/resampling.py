@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import md5_uniform, ratio
+from spindrift.functions.places import settled
+from spindrift.operators import joins
 from spindrift.operators.pairs import average_rank
 
 
@@ -117,8 +120,41 @@ def jittered(spikes: DataFrame, n: int, half_us: int, row_id: str, salt: str = "
     return copies.withColumn("us", F.col("us") + F.floor((md5_uniform(F.lit(salt), "shuffle_id", row_id) * 2 - 1) * half_us).cast("bigint"))
 
 
-def quota_sample(pairs: DataFrame, strata: list[str], quotas: DataFrame, shuffles: int, pair_id: list[str], salt: str = "null") -> DataFrame:
-    """For each shuffle, ``quota`` pairs of each stratum, drawn without replacement from the eligible ones."""
-    draws = pairs.join(quotas, strata).withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-    order = Window.partitionBy("shuffle_id", *strata).orderBy(md5_uniform(F.lit(salt), "shuffle_id", *pair_id), *pair_id)
-    return draws.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("quota")).drop("nth", "quota")
+def drawn_pairs(units: DataFrame, unit: str, kind: Callable[[str, str], Column], quotas: dict[str, int], shuffles: int, salt: str = "null", rounds: int = 3) -> DataFrame:
+    """(shuffle_id, kind, a, b): for each shuffle, ``quotas`` pairs of each kind, drawn at random without replacement.
+
+    ``kind`` gives the kind of a pair from the prefixes of its two units' columns (``one.`` and
+    ``two.``). Numbers of pairs are drawn, not pairs made: the number tells the places of the two
+    units, a < b. Draws that repeat a pair or find no quota left are passed over. Where quotas
+    stay open there are eight times as many draws; after ``rounds`` of these all pairs are made
+    and the open quotas are sampled from them.
+    """
+    spark, wanted = units.sparkSession, shuffles * sum(quotas.values())
+    placed = settled(joins.numbered_rows(units, unit), "places")
+    n = placed.count()
+    pairs = n * (n - 1) // 2
+    limits = F.create_map(*(F.lit(x) for item in quotas.items() for x in item))
+    sides = [placed.select(F.struct(*units.columns).alias(side), F.col("i").alias(at)) for side, at in (("one", "i"), ("two", "j"))]
+
+    def filled(numbered: DataFrame) -> DataFrame:
+        """``numbered``: shuffle_id, i, j, by; the earliest of each kind."""
+        met = numbered.join(sides[0], "i").join(sides[1], "j").select("shuffle_id", kind("one.", "two.").alias("kind"), F.col(f"one.{unit}").alias("a"), F.col(f"two.{unit}").alias("b"), "by")
+        first = met.where(F.col("kind").isin(list(quotas))).groupBy("shuffle_id", "kind", "a", "b").agg(F.min("by").alias("by"))
+        nth = F.row_number().over(Window.partitionBy("shuffle_id", "kind").orderBy("by", "a", "b"))
+        return first.withColumn("nth", nth).where(F.col("nth") <= limits[F.col("kind")]).select("shuffle_id", "kind", "a", "b")
+
+    draws = 20 * sum(quotas.values())
+    before = lambda i: i * F.lit(n) - F.floor(i * (i + 1) / 2)
+    for _ in range(rounds if pairs else 0):
+        rows = spark.range(shuffles * draws).select(F.floor(F.col("id") / draws).cast("int").alias("shuffle_id"), (F.col("id") % draws).alias("draw"))
+        u = md5_uniform(F.lit(salt), "shuffle_id", "draw") + md5_uniform(F.lit(salt), "shuffle_id", "draw", F.lit("fine")) / 4294967296.0
+        rows = rows.withColumn("nth", F.least(F.floor(u * pairs), F.lit(pairs - 1)))
+        guess = F.floor((F.lit(2 * n - 1) - F.sqrt(F.lit(float(2 * n - 1)) ** 2 - 8.0 * F.col("nth"))) / 2)
+        rows = rows.withColumn("i", guess).withColumn("i", F.when(before(F.col("i")) > F.col("nth"), F.col("i") - 1).when(before(F.col("i") + 1) <= F.col("nth"), F.col("i") + 1).otherwise(F.col("i")))
+        found = settled(filled(rows.select("shuffle_id", "i", (F.col("nth") - before(F.col("i")) + F.col("i") + 1).alias("j"), F.col("draw").cast("double").alias("by"))), "drawn")
+        if found.count() == wanted:
+            return found
+        draws *= 8
+    numbered = placed.where("i < n - 1").select("i", F.explode(F.sequence(F.col("i") + 1, F.col("n") - 1)).alias("j"))
+    numbered = numbered.withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    return filled(numbered.withColumn("by", md5_uniform(F.lit(salt), "shuffle_id", "i", "j")))

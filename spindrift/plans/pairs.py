@@ -160,11 +160,8 @@ def jittered_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random pairs by quota: for each shuffle so many of each kind, none twice."""
     units = load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    quotas = spark.createDataFrame([("near", 7), ("far", 5)], "kind string, quota int")
-    one = units.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("sa"))
-    two = units.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("sb"))
-    eligible = one.join(two, F.col("a") < F.col("b")).select("a", "b", F.when(F.abs(F.col("sa") - F.col("sb")) <= 10, "near").otherwise("far").alias("kind"))
-    return resampling.quota_sample(eligible, ["kind"], quotas, 6, ["a", "b"]).select("shuffle_id", "kind", "a", "b")
+    kind = lambda one, two: F.when(F.abs(F.col(f"{one}s_nationkey") - F.col(f"{two}s_nationkey")) <= 10, "near").otherwise("far")
+    return resampling.drawn_pairs(units, "s_suppkey", kind, {"near": 7, "far": 5}, 6)
 
 
 def random_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +266,12 @@ ORACLE_SQL = {
         WITH {_E}, m AS (SELECT i::INT AS shuffle_id, unit, us + floor(({_U("'jitter|' || i || '|' || event_id")} * 2 - 1) * {30 * MINUTE})::BIGINT AS us FROM e CROSS JOIN range(5) r(i))
         SELECT shuffle_id, count(*) AS bins FROM (SELECT DISTINCT shuffle_id, unit, us // {10 * MINUTE} AS bin FROM m WHERE us >= 0) GROUP BY 1""",
     "null_connections": f"""
-        WITH g AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, CASE WHEN abs(a.s_nationkey - b.s_nationkey) <= 10 THEN 'near' ELSE 'far' END AS kind FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
-        k AS (SELECT *, i::INT AS shuffle_id, row_number() OVER (PARTITION BY i, kind ORDER BY {_U("'null|' || i || '|' || a || '|' || b")}, a, b) AS nth FROM g CROSS JOIN range(6) r(i))
-        SELECT shuffle_id, kind, a, b FROM k WHERE nth <= CASE kind WHEN 'near' THEN 7 ELSE 5 END""",
+        WITH u AS (SELECT s_suppkey AS k, s_nationkey AS s, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
+        d AS (SELECT s::INT AS shuffle_id, d AS draw, least(floor(({_U("'null|' || s || '|' || d")} + {_U("'null|' || s || '|' || d || '|fine'")} / 4294967296.0) * (n * (n - 1) // 2)), n * (n - 1) // 2 - 1)::BIGINT AS nth
+            FROM range(6) a(s) CROSS JOIN range(240) b(d) CROSS JOIN (SELECT max(n) AS n FROM u)),
+        p AS (SELECT x.k AS a, y.k AS b, CASE WHEN abs(x.s - y.s) <= 10 THEN 'near' ELSE 'far' END AS kind, x.i * x.n - x.i * (x.i + 1) // 2 + y.i - x.i - 1 AS nth FROM u x JOIN u y ON x.i < y.i),
+        f AS (SELECT shuffle_id, kind, a, b, min(draw) AS draw FROM d JOIN p USING (nth) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY shuffle_id, kind ORDER BY draw, a, b) AS r FROM f)
+        SELECT shuffle_id, kind, a, b FROM k WHERE r <= CASE kind WHEN 'near' THEN 7 ELSE 5 END""",
     "random_units": f"""
         WITH u AS (SELECT DISTINCT user_id AS unit FROM events), k AS (SELECT i::INT AS run, unit, row_number() OVER (PARTITION BY i ORDER BY {_U("i || '|' || unit")}, unit) AS nth FROM u CROSS JOIN range(4) r(i))
         SELECT run, unit FROM k WHERE nth <= 5""",

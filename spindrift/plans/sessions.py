@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import md5_uniform
-from spindrift.functions.places import scratch
-from spindrift.operators import decoding, geometry, joins, maps, pairs, regression, windows
+from spindrift.functions.places import scratch, settled
+from spindrift.operators import decoding, geometry, joins, maps, pairs, regression, tracking, windows
+from spindrift.plans import models
 from spindrift.plans.maps import _B, _BINS, FRAME_S, _frames, _sh_sql, _shuffled
 from spindrift.plans.models import _V, _vectors
 from spindrift.sources import tables
@@ -135,6 +136,18 @@ def mean_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("label", F.round(azimuth, 6).alias("azimuth"), F.round(pitch, 6).alias("pitch"))
 
 
+def derived_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles of head and back from the vectors' first entries, their derivatives, and motion by the next two."""
+    e = [F.col("embedding")[i].cast("double") for i in range(11)]
+    angles = tracking.head_angles(tuple(e[0:3]), tuple(e[3:6]), tuple(e[6:9]))
+    frames = load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    # angles are kept to a thousandth of a degree
+    frames = frames.select(F.col("label").alias("session"), F.col("vec_id").alias("frame"), *(F.round(c, 3).alias(name) for name, c in angles.items()), e[9].alias("x"), e[10].alias("y"))
+    # written once: each derivative would else repeat the long expressions of its angle
+    found = tracking.derived(settled(frames, "angles"), ["session"], 10.0, 2, (5,))
+    return found.select("session", "frame", *(F.round(c, 5).alias(c) for c in found.columns if c not in ("session", "frame", "x", "y")))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' sessions from a stream of the events file: those that the watermark has closed."""
     path = scratch(spark, "sessions")
@@ -143,12 +156,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", (F.unix_micros("w.start") - F.lit(1704067200000000)).alias("first_us"), (F.unix_micros("w.end") - F.lit(1704067200000000)).alias("end_us"), "n")
 
 
-QUERIES = {f.__name__: f for f in (common_event_count, ratemap_pairs, running_mean, paired_files, name_tokens, shuffled_stability, decoder_runs, unpivot_scan, column_profile, grouped_units, first_units, checked_modulation, fold_methods, probe_positions, mean_directions, stream_sessions)}
+QUERIES = {f.__name__: f for f in (common_event_count, ratemap_pairs, running_mean, paired_files, name_tokens, shuffled_stability, decoder_runs, unpivot_scan, column_profile, grouped_units, first_units, checked_modulation, fold_methods, probe_positions, mean_directions, derived_tracking, stream_sessions)}
 
 _U = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0"
 _H = f"h AS (SELECT event_type, (epoch_us(ts) - 1704067200000000) // {HOUR} AS frame FROM events)"
 
+_WRAP = lambda d: f"(CASE WHEN {d} > 180 THEN {d} - 360 WHEN {d} < -180 THEN {d} + 360 ELSE {d} END)"
+_ROTATED = dict(zip(tracking.ANGLES, ("roll3", "pitch3", "azimuth3", "azimuth2", "back_pitch", "back_azimuth"), strict=True))
+_DER1 = ", ".join(f"{_WRAP(f'(lead({c}, 2) OVER w - lag({c}, 2) OVER w)')} * 10.0::DOUBLE / 4 AS {c}_der1" for c in _ROTATED)
+_DER2 = ", ".join(f"round({c}, 5) AS {c}, round({c}_der1, 5) AS {c}_der1, round((lead({c}_der1, 2) OVER w - lag({c}_der1, 2) OVER w) * 10.0::DOUBLE / 4, 5) AS {c}_der2" for c in _ROTATED)
+
 ORACLE_SQL = {
+    "derived_tracking": f"""
+        WITH r AS ({models.ORACLE_SQL['rotations']}),
+        s AS (SELECT label AS session, vec_id AS frame, {', '.join(f'{v} AS {k}' for k, v in _ROTATED.items())}, embedding[10]::DOUBLE AS x, embedding[11]::DOUBLE AS y FROM r JOIN embeddings USING (vec_id)),
+        t AS (SELECT *, {_DER1}, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step, lag(x, 2) OVER w AS x0, lead(x, 3) OVER w AS x1, lag(y, 2) OVER w AS y0, lead(y, 3) OVER w AS y1,
+            lead(azimuth_planar, 3) OVER w - lag(azimuth_planar, 2) OVER w AS t FROM s WINDOW w AS (PARTITION BY session ORDER BY frame)),
+        m AS (SELECT *, CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * 100 / 0.5::DOUBLE END AS jump,
+            CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN sum(step) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) * 100 / 0.5::DOUBLE END AS cum, radians({_WRAP('t')}) AS turn FROM t)
+        SELECT session, frame, {_DER2}, round(jump, 5) AS jump_5, round(cum, 5) AS cum_5, round(jump * sin(turn), 5) AS dx_5, round(jump * cos(turn), 5) AS dy_5 FROM m WINDOW w AS (PARTITION BY session ORDER BY frame)""",
     "common_event_count": f"""
         WITH {_H}, n AS (SELECT frame, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM h GROUP BY frame),
         k AS (SELECT (frame // 168)::INT AS session, frame, row_number() OVER (PARTITION BY frame // 168 ORDER BY frame) AS nth FROM n WHERE errors > 0 AND n BETWEEN 2 AND 150 AND frame // 168 < 4),

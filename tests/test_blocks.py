@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spindrift.operators import decoding, joins, pairs
+from spindrift.operators import decoding, joins, pairs, resampling
 from spindrift.plans import pairs as pair_plans
 
 
@@ -72,3 +73,15 @@ def test_nearest_over_blocks(spark, monkeypatch, measure):
 def test_a_permutation_test_takes_any_number_of_shuffles(spark, sf_dir):
     few, many = (pair_plans.permutation_swap(spark, sf_dir, n).collect() for n in (40, 1000))
     assert {r.c_mktsegment: r.true_diff for r in few} == {r.c_mktsegment: r.true_diff for r in many} and len(many) > 0
+
+
+@pytest.mark.parametrize("n, quotas", [(40, {"near": 4, "far": 6}), (6, {"near": 5, "far": 10}), (5, {"near": 50, "far": 50}), (1, {"near": 1}), (0, {"near": 1})])
+def test_drawn_pairs_fill_their_quotas(spark, n, quotas):
+    units = spark.createDataFrame([(10 * i, i) for i in range(n)], "unit long, at int")
+    kind = lambda one, two: F.when(F.abs(F.col(f"{one}at") - F.col(f"{two}at")) <= 1, "near").otherwise("far")
+    rows = resampling.drawn_pairs(units, "unit", kind, quotas, 3).collect()
+    assert len({tuple(r) for r in rows}) == len(rows) and all(r.a < r.b and r.kind == ("near" if r.b - r.a <= 10 else "far") for r in rows)
+    there = {"near": max(n - 1, 0), "far": n * (n - 1) // 2 - max(n - 1, 0)}
+    for shuffle in range(3):
+        assert {k: sum(r.kind == k and r.shuffle_id == shuffle for r in rows) for k in quotas} == {k: min(q, there[k]) for k, q in quotas.items()}
+    assert n < 40 or len({tuple(sorted((r.a, r.b) for r in rows if r.shuffle_id == s)) for s in range(3)}) == 3

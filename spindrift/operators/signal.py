@@ -58,6 +58,54 @@ def wavelet_power(series: DataFrame, keys: list[str], fps: float, scales: list[f
     return series.select(*keys, order, value).groupBy(*keys).applyInPandas(transform, f"{kinds}, scale double, frame bigint, power double")
 
 
+def spline_trend(values: np.ndarray, every: int = 120) -> np.ndarray:
+    """Least-squares cubic spline with a knot every so many frames: what changes slowly."""
+    t = np.linspace(-1, 1, len(values)) if len(values) > 1 else np.zeros(len(values))
+    knots = t[every:-1:every] if len(values) > every else np.empty(0)
+    basis = np.column_stack([t**k for k in range(4)] + [np.maximum(t - k, 0) ** 3 for k in knots])
+    return basis @ np.linalg.lstsq(basis, values, rcond=None)[0]
+
+
+def red_noise_power(values: np.ndarray, scales: np.ndarray, fps: float, level: float = 0.95, omega: float = 6.0) -> np.ndarray:
+    """For each scale the power that AR(1) noise of the series' variance and lag-1 correlation exceeds with probability 1 - level.
+
+    Torrence and Compo, 1998: a chi-squared variable of two degrees of freedom, whose quantile is -2 ln(1 - level).
+    """
+    d = values - values.mean()
+    variance = float((d * d).mean())
+    alpha = float((d[1:] * d[:-1]).sum() / (d * d).sum()) if variance > 0 else 0.0
+    period = 4 * np.pi * scales / (omega + np.sqrt(2 + omega * omega))
+    spectrum = (1 - alpha**2) / (1 + alpha**2 - 2 * alpha * np.cos(2 * np.pi / (period * fps)))
+    return variance * spectrum * -np.log(1 - level)
+
+
+def time_frequency(series: DataFrame, keys: list[str], fps: float, scales: list[float], every: int = 120, level: float = 0.95, order: str = "frame", value: str = "value") -> DataFrame:
+    """keys, scale, frame, amplitude, significant, averaged of each key's series without its spline trend, in units of its spread.
+
+    ``amplitude`` is the root of the Morlet power; ``significant`` tells whether the power exceeds
+    that of red noise; ``averaged`` is the power averaged over the scales (the same for each). A
+    key's series is one task's work; nulls count as the mean.
+    """
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        v = rows[value].to_numpy(float)
+        v = np.where(np.isnan(v), np.nanmean(v) if not np.isnan(v).all() else 0.0, v)
+        v = v - spline_trend(v, every)
+        v = v / v.std() if v.std() > 1e-12 else np.zeros(len(v))
+        at, n = np.array(scales), len(rows)
+        power = morlet_power(v, at, fps)
+        step = np.log2(at[1] / at[0]) if len(at) > 1 else 1.0
+        averaged = step / (fps * 0.776) * (power / at[:, None]).sum(axis=0)  # fixed value: the Morlet wavelet's reconstruction factor
+        significant = power > red_noise_power(v, at, fps, level)[:, None]
+        return pd.DataFrame(
+            {**{k: rows[k].iloc[0] for k in keys}, "scale": np.repeat(scales, n), "frame": np.tile(rows[order].to_numpy(), len(scales)), "amplitude": np.sqrt(power).ravel(), "significant": significant.ravel(), "averaged": np.tile(averaged, len(scales))}
+        )
+
+    return series.select(*keys, order, value).groupBy(*keys).applyInPandas(transform, f"{kinds}, scale double, frame bigint, amplitude double, significant boolean, averaged double")
+
+
 def density_grid(points: DataFrame, n: int = 60, margin: float = 0.05) -> DataFrame:
     """(gx, gy, n) counts of points (x, y) on an n x n grid that reaches past the extremes by a margin."""
     ends = points.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)))

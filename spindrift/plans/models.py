@@ -151,15 +151,27 @@ def euler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", *(F.round(b - a, 6).alias(n) for n, a, b in zip("xyz", e, back, strict=True)))
 
 
-def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power of each type's hourly counts at three periods, averaged over each day."""
+def _hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's counts in all hours."""
     rows = spikes(spark, sf_dir, "event_type").groupBy("event_type", F.expr(f"us div {HOUR}").alias("frame")).agg(F.count("*").cast("double").alias("value"))
     frames = spark.range(720).select(F.col("id").alias("frame"))
-    dense = rows.select("event_type").distinct().crossJoin(F.broadcast(frames)).join(rows, ["event_type", "frame"], "left").fillna(0.0, ["value"])
-    power = signal.wavelet_power(dense, ["event_type"], 1.0, [6.0, 12.0, 24.0])
+    return rows.select("event_type").distinct().crossJoin(F.broadcast(frames)).join(rows, ["event_type", "frame"], "left").fillna(0.0, ["value"])
+
+
+def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power of each type's hourly counts at three periods, averaged over each day."""
+    power = signal.wavelet_power(_hourly_series(spark, sf_dir), ["event_type"], 1.0, [6.0, 12.0, 24.0])
     return power.groupBy("event_type", "scale", F.floor(F.col("frame") / 24).alias("day")).agg(F.round(F.avg("power"), 4).alias("power"))
 
 
+def wavelet_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amplitudes without the slow trend, hours whose power exceeds red noise, and the scales' average, by type, scale and day."""
+    found = signal.time_frequency(_hourly_series(spark, sf_dir), ["event_type"], 1.0, [6.0, 12.0, 24.0])
+    return found.groupBy("event_type", "scale", F.floor(F.col("frame") / 24).alias("day")).agg(
+        F.round(F.avg("amplitude"), 4).alias("amplitude"), F.count(F.when(F.col("significant"), 1)).alias("significant"), F.round(F.avg("averaged"), 4).alias("averaged")
+    )
+
+
 def watershed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the density of two covariates, by the basin that they lie in."""
     points = load(spark, sf_dir, "embeddings", "embedding").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
@@ -217,7 +229,7 @@ def lag_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nn_decoder, nn_euclid, pca, kmeans_profile, fold_sublock, glm_cv, forward_selection, ablation, glm_families, glm_group_lasso, backward_scores, roc_auc, llr_scores, link_functions, rotations, euler_round_trip, wavelet_power, watershed_labels,
+        nn_decoder, nn_euclid, pca, kmeans_profile, fold_sublock, glm_cv, forward_selection, ablation, glm_families, glm_group_lasso, backward_scores, roc_auc, llr_scores, link_functions, rotations, euler_round_trip, wavelet_power, wavelet_significance, watershed_labels,
         density_grid, sinks_roundtrip, json_document, partition_pruned_scan, stream_counts, lag_alignment,
     )
 }

@@ -170,6 +170,36 @@ def test_wavelet_power_equals_a_convolution(spark, sf_dir, spikes):
         assert abs(got[key] - power) < 0.02 * power + 0.02, (key, got[key], power)
 
 
+def test_time_frequency_by_its_definition(spark, sf_dir, spikes):
+    counts = Counter((kind, us // HOUR) for _, kind, us in spikes)
+    got = {(r.event_type, r.scale, r.day): r for r in models.wavelet_significance(spark, sf_dir).collect()}
+    kinds = sorted({k for k, _ in counts})
+    assert len(got) == len(kinds) * 90
+    t = np.arange(720)
+    for kind in kinds[:2]:
+        x = np.array([counts[kind, f] for f in range(720)], float)
+        # a cubic spline in another basis: third differences jump at the knots only
+        u, knots = t / 719, np.arange(120, 719, 120) / 719
+        basis = np.column_stack([np.ones(720), u, u**2, u**3] + [np.where(u > k, (u - k) ** 3, 0) for k in knots])
+        x = x - basis @ np.linalg.pinv(basis) @ x
+        x = (x - x.mean()) / x.std()
+        power = []
+        for scale in (6.0, 12.0, 24.0):
+            s = np.arange(-719, 720)
+            daughter = np.pi**-0.25 / np.sqrt(scale) * np.exp(1j * 6 * s / scale) * np.exp(-0.5 * (s / scale) ** 2)
+            power.append(np.abs(np.array([np.sum(x * np.conj(daughter[719 - f : 1439 - f])) for f in range(720)])) ** 2)
+        alpha = np.sum(x[1:] * x[:-1]) / np.sum(x * x)
+        averaged = sum(p / s for p, s in zip(power, (6, 12, 24), strict=True)) / 0.776
+        for scale, p in zip((6.0, 12.0, 24.0), power, strict=True):
+            frequency = (6 + np.sqrt(38)) / (4 * np.pi * scale)
+            level = (1 - alpha**2) / abs(1 - alpha * np.exp(-2j * np.pi * frequency)) ** 2 * 5.991464547107979 / 2
+            for day in range(30):
+                part = slice(24 * day, 24 * day + 24)
+                r = got[kind, scale, day]
+                assert abs(r.amplitude - np.sqrt(p[part]).mean()) < 0.02 and abs(r.averaged - averaged[part].mean()) < 0.02 + 0.02 * averaged[part].mean()
+                assert (p[part] > 1.02 * level + 0.02).sum() <= r.significant <= (p[part] > 0.98 * level - 0.02).sum()
+
+
 def hours(spikes):
     """Each unit's response and covariates, hour by hour."""
     units, total = sorted({u for u, _, _ in spikes}), Counter(us // HOUR for _, _, us in spikes)

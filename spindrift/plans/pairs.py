@@ -192,11 +192,22 @@ def zeros_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.signed_rank(days, ["unit"], "late", "early", zeros="split").select("unit", "n", "w_plus", "w_minus")
 
 
+def modulation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit's trials (days): mean counts before and after noon, their index, and the signed-rank test with zeros split."""
+    rows = spikes(spark, sf_dir)
+    late = F.col("us") % (24 * HOUR) >= 12 * HOUR
+    trials = rows.groupBy("unit", F.expr("us div 86400000000").alias("day")).agg(F.count(F.when(~late, 1)).alias("pre"), F.count(F.when(late, 1)).alias("post"))
+    means = trials.groupBy("unit").agg(F.avg("pre").alias("pre"), F.avg("post").alias("post"))
+    test = resampling.signed_rank(trials, ["unit"], "post", "pre", zeros="split")
+    index = F.try_divide(F.col("post") - F.col("pre"), F.col("post") + F.col("pre"))
+    return means.join(test, "unit").select("unit", "n", F.round("pre", 5).alias("pre"), F.round("post", 5).alias("post"), F.round(index, 6).alias("index"), F.round("z", 5).alias("z"), F.round("p_two_sided", 5).alias("p"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         common_units_three_sessions, unit_set_operations, unit_pairs, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
-        wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split,
+        wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split, modulation_test,
     )
 }
 
@@ -286,4 +297,11 @@ ORACLE_SQL = {
         WITH {_E}, d AS (SELECT unit, us // 86400000000 % 15 AS day, count(*) FILTER (us >= {360 * HOUR}) - count(*) FILTER (us < {360 * HOUR}) AS d FROM e GROUP BY ALL),
         a AS (SELECT *, abs(d) AS a FROM d), k AS (SELECT *, {_RANK('unit', 'a')} AS r FROM a)
         SELECT unit, count(*) AS n, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_minus FROM k GROUP BY unit""",
+    "modulation_test": f"""
+        WITH {_E}, d AS (SELECT unit, us // 86400000000 AS day, count(*) FILTER (us % {24 * HOUR} < {12 * HOUR}) AS pre, count(*) FILTER (us % {24 * HOUR} >= {12 * HOUR}) AS post FROM e GROUP BY ALL),
+        a AS (SELECT *, post - pre AS d, abs(post - pre) AS a FROM d), k AS (SELECT *, {_RANK('unit', 'a')} AS r FROM a),
+        t AS (SELECT unit, sum(pow(n, 3) - n) AS ties FROM (SELECT unit, a, count(*) AS n FROM a GROUP BY ALL) GROUP BY unit),
+        s AS (SELECT unit, count(*) AS n, avg(pre) AS pre, avg(post) AS post, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w FROM k GROUP BY unit),
+        z AS (SELECT *, (w - n * (n + 1) / 4.0) / nullif(sqrt(greatest(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0, 0)), 0) AS z FROM s JOIN t USING (unit)), q AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
+        SELECT unit, n, round(pre, 5) AS pre, round(post, 5) AS post, round((post - pre) / (post + pre), 6) AS index, round(z, 5) AS z, round(CASE WHEN z IS NULL THEN NULL ELSE least(1.0, 2 * {_TAIL('abs(z)')}) END, 5) AS p FROM q""",
 }

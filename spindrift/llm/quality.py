@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import executors_can_import
+from spindrift.llm.common import executors_can_import, text_slices
 
-#: Texts on which the rules' order is found.
-SAMPLE_ROWS = 400
+#: Texts on which the rules' order is found, and the share of rows that they are drawn from.
+SAMPLE_ROWS, SAMPLE_SHARE = 400, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BULLETS = ("-", "*", "•")
@@ -124,6 +124,13 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
+def sample_texts(docs: DataFrame) -> list[str | None]:
+    """At most ``SAMPLE_ROWS`` texts, drawn from the first partitions that have so many; the first rows of a small table."""
+    rows = docs.select("text")
+    drawn = rows.sample(SAMPLE_SHARE, seed=7).take(SAMPLE_ROWS)
+    return [row.text for row in (drawn if len(drawn) == SAMPLE_ROWS else rows.take(SAMPLE_ROWS))]
+
+
 def order_rules(texts: list[str | None]) -> list[str]:
     """The rules' names by rejections per second over ``texts``, the most first; by cost where none rejects."""
     _letters()
@@ -142,18 +149,18 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
     Null texts count as empty and fail the base rules, as does any text of under 50 words. Rows
-    of equal or null doc_id are judged one by one. Without ``order``, the first ``SAMPLE_ROWS``
-    texts give it.
+    of equal or null doc_id are judged one by one, texts of any length whole; other columns are
+    left out, and an empty table gives an empty one. Without ``order``, ``sample_texts`` give it.
     """
     executors_can_import(docs.sparkSession)
-    order = order or order_rules([row.text for row in docs.select("text").take(SAMPLE_ROWS)])
+    order = order or order_rules(sample_texts(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = [RULES[name] for name in order]
-        for batch in batches:
+        for batch in text_slices(batches, 16 << 20):
             figures, failed, kept = [], [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 t = Text(text.as_py())
                 figures.append([getattr(t, name) for name in names])
                 failed.append(t.base_failed)
@@ -172,12 +179,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
     figure is computed that a decision doesn't need.
     """
     executors_can_import(docs.sparkSession)
-    order = order_rules([row.text for row in docs.select("text").take(SAMPLE_ROWS)])
+    order = order_rules(sample_texts(docs))
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = [RULES[name] for name in order]
-        for batch in batches:
+        for batch in text_slices(batches, 16 << 20, at):
             keep = []
             for text in batch.column(at):
                 t = Text(text.as_py())

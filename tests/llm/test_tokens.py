@@ -209,6 +209,12 @@ def test_plans_are_near_best_fit_decreasing(low, high):
     assert used <= 1.02 * best_fit_decreasing(lengths, 1024) + 1
 
 
+def test_the_plan_does_not_grow_with_the_corpus():
+    lengths = np.random.default_rng(1).integers(1, 129, 4000)
+    plans = [packing.plan_packing({x: n * k for x, n in Counter(lengths.tolist()).items()}, 128, 16) for k in (1, 100)]
+    assert len(plans[1].runs) < 1.3 * len(plans[0].runs) and plans[1].sequences <= 100 * plans[0].sequences
+
+
 def test_packed_documents(spark):
     texts = [*TEXTS, "word " * 5000, None, "one"]
     got = packing.pack_documents(documents(spark, texts)).collect()

@@ -55,6 +55,8 @@ def test_quality_edges(spark):
     assert [got[i].kept for i in (1, 2, 3, 4, 5, 6, 7, None)] == [True, False, False, False, False, False, True, True]
     assert got[8].n_words == 6 and got[6].base_failed and got[6].n_dup_lines == 8
     assert sorted(r.doc_id or 0 for r in quality.keep_good(frame(spark, rows)).collect()) == [0, 1, 7]
+    long = spark.createDataFrame([(9, good * 400, 1, True), (9, good, 2, False)], "doc_id long, text string, n_words int, base_failed boolean")
+    assert [(r.doc_id, r.n_words, r.kept) for r in quality.judge(long).orderBy("n_words").collect()] == [(9, 120, True), (9, 400 * 120 - 399, False)]
     assert quality.judge(frame(spark, [])).count() == 0 and quality.keep_good(frame(spark, [])).columns == ["doc_id", "text", "kept", "n_words"]
 
 
@@ -85,7 +87,7 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 1024), (2, 3)])
+@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 20), (2, 2)])
 def test_components_equal_brute_force(spark, seed, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     rng = random.Random(seed)
@@ -297,7 +299,7 @@ def test_stages_take_rows_as_they_come(spark, sf_dir):
 
 
 def test_texts_that_share_a_passage_are_not_linked_by_it(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 1)
     rng = random.Random(51)
     passage = some_text(rng, 60)
     rows = [(i, passage + " " + some_text(rng, 25)) for i in range(0, 90, 3)]

@@ -77,23 +77,57 @@ def fit_logistic(x: np.ndarray, spikes: np.ndarray, n: np.ndarray, l1: float = L
     return beta
 
 
+def _fit_folds(z: np.ndarray, spikes: np.ndarray, n: np.ndarray, l1: float, steps: int = 400) -> np.ndarray:
+    """``fit_logistic`` for several folds at once: z (folds, rows, columns), spikes and n (folds, rows); a row of coefficients each."""
+    folds, rows, _ = z.shape
+    a = np.concatenate((np.ones((folds, rows, 1)), z), axis=2)
+    turned = a.transpose(0, 2, 1).copy()
+    total = n.sum(axis=1, keepdims=True)
+    beta = np.zeros((folds, a.shape[2]))
+    share = np.clip(spikes.sum(axis=1) / total[:, 0], 1e-6, 1 - 1e-6)
+    beta[:, 0] = np.log(share / (1 - share))
+    step = 4.0 / np.maximum(1e-12, np.linalg.eigvalsh(turned @ (a * n[:, :, None]) / total[:, :, None])[:, -1:])
+    ahead, t, last, going = beta.copy(), np.ones((folds, 1)), np.full((folds, 1), np.inf), np.ones((folds, 1), bool)
+    for _ in range(steps):
+        eta = (a @ ahead[:, :, None])[:, :, 0]
+        new = ahead - step * (turned @ (n * (0.5 + 0.5 * np.tanh(0.5 * eta)) - spikes)[:, :, None])[:, :, 0] / total
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        eta = (a @ new[:, :, None])[:, :, 0]
+        cost = (n * np.logaddexp(0, eta) - spikes * eta).sum(axis=1, keepdims=True) / total + l1 * np.abs(new).sum(axis=1, keepdims=True)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        better = cost <= last
+        ahead, t = np.where(better, new + (t - 1) / t_new * (new - beta), new), np.where(better, t_new, 1.0)
+        beta, done, last = np.where(going, new, beta), np.abs(last - cost) < 1e-10, cost
+        going &= ~done
+        if not going.any():
+            break
+    return beta
+
+
 def fold_scores(counts: pd.DataFrame, features: list[str], l1: float = L1, folds: int = FOLDS) -> list[dict]:
-    """Held-out scores of each fold: the columns are standardised by the training part, constant ones dropped."""
-    x, found = one_hot(counts[list(features)].to_numpy()), []
-    n, spikes, fold = counts["n"].to_numpy(float), counts["spikes"].to_numpy(float), counts["fold"].to_numpy()
-    for k in range(folds):
-        train, test = fold != k, fold == k
-        if not test.any() or not train.any() or not 0 < spikes[train].sum() < n[train].sum():
-            continue
-        w = n[train] / n[train].sum()
-        mean = w @ x[train]
-        spread = np.sqrt(np.maximum(w @ (x[train] - mean) ** 2, 0))
-        use = spread > 1e-12
-        z = (x[:, use] - mean[use]) / spread[use]
-        beta = fit_logistic(z[train], spikes[train], n[train], l1)
-        mu = np.clip(1 / (1 + np.exp(-(beta[0] + z[test] @ beta[1:]))), 1e-10, 1 - 1e-10)
-        base = np.clip(spikes[train].sum() / n[train].sum(), 1e-10, 1 - 1e-10)
-        s, m = spikes[test], n[test]
+    """Held-out scores of each fold: the columns are standardised by the training part, constant ones count for nothing.
+
+    Rows of equal bins are one, with their counts by fold; all folds are fitted together.
+    """
+    cells, place = np.unique(counts[list(features)].to_numpy(), axis=0, return_inverse=True)
+    n, spikes = np.zeros((folds, len(cells))), np.zeros((folds, len(cells)))
+    at = counts["fold"].to_numpy(), place.ravel()
+    np.add.at(n, at, counts["n"].to_numpy(float))
+    np.add.at(spikes, at, counts["spikes"].to_numpy(float))
+    n_train, s_train = n.sum(axis=0) - n, spikes.sum(axis=0) - spikes
+    fit = np.flatnonzero((n.sum(axis=1) > 0) & (n_train.sum(axis=1) > 0) & (s_train.sum(axis=1) > 0) & (s_train.sum(axis=1) < n_train.sum(axis=1)))
+    if not len(fit):
+        return []
+    x, w = one_hot(cells), n_train[fit] / n_train[fit].sum(axis=1, keepdims=True)
+    mean = w @ x
+    spread = np.sqrt(np.maximum(w @ (x * x) - mean * mean, 0))
+    z = np.where(spread[:, None] > 1e-9, (x - mean[:, None]) / np.where(spread > 1e-9, spread, 1)[:, None], 0)
+    beta = _fit_folds(z, s_train[fit], n_train[fit], l1)
+    mus = np.clip(0.5 + 0.5 * np.tanh(0.5 * (beta[:, :1] + (z @ beta[:, 1:, None])[:, :, 0])), 1e-10, 1 - 1e-10)
+    found = []
+    for i, k in enumerate(fit.tolist()):
+        mu, s, m = mus[i], spikes[k], n[k]
+        base = np.clip(s_train[k].sum() / n_train[k].sum(), 1e-10, 1 - 1e-10)
         one, none = (s * np.log(mu) + (m - s) * np.log(1 - mu)).sum(), s.sum() * np.log(base) + (m.sum() - s.sum()) * np.log(1 - base)
         found.append(
             {"fold": k, "n": int(m.sum()), "n_spikes": int(s.sum()), "deviance": -2 * one, "pseudo_r2": 1 - one / none if none else None, "llr": 2 * (one - none),

@@ -89,10 +89,11 @@ def release_memory() -> None:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int, column: int | str = "text") -> Iterator[pa.RecordBatch]:
-    """All batches in slices of bounded texts; what a batch's slices took goes back to the system after it."""
+    """All batches in slices of bounded texts; what the work on a slice took goes back to the system after it."""
     for batch in batches:
-        yield from slices(batch, column, most_bytes)
-        release_memory()
+        for part in slices(batch, column, most_bytes):
+            yield part
+            release_memory()
 
 
 def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = 16 << 20):

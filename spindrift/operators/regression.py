@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import md5_uniform
@@ -149,7 +149,13 @@ def cross_validate(counts: DataFrame, models: list[tuple[str, ...]], features: l
         found = fold_scores(rows.groupby(["fold", *used], as_index=False)[["n", "spikes"]].sum(), used, l1, folds)
         return pd.DataFrame([{"unit": key[0], "model": key[1]} | f for f in found], columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    return counts.crossJoin(F.broadcast(names)).groupBy("unit", "model").applyInPandas(fit, SCORES)  # a few models; counts are bounded by the bins
+    # a few models; counts are bounded by the bins. Small rows, long work: Spark must not merge the tasks
+    rows = counts.crossJoin(F.broadcast(names)).repartition(_tasks(spark), "unit", "model")
+    return rows.groupBy("unit", "model").applyInPandas(fit, SCORES)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALPHA, exclusive: list[set[str]] | None = None, start: tuple[str, ...] = (), l1: float = L1, folds: int = FOLDS) -> DataFrame:
@@ -189,7 +195,7 @@ def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALP
             mean, _, best, scores = top
         return pd.DataFrame(found, columns=["unit", "layer", "model", "mean_score", "p", "chosen"])
 
-    return counts.groupBy("unit").applyInPandas(select, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean")
+    return counts.repartition(_tasks(counts.sparkSession), "unit").groupBy("unit").applyInPandas(select, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean")
 
 
 def ablation(counts: DataFrame, final: list[str], **fit: float) -> DataFrame:

@@ -14,7 +14,16 @@ MARKS = frozenset(
     "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Elements whose content isn't markup, and isn't shown.
-RAW = frozenset("script style template noscript iframe object svg annotation annotation-xml title textarea select canvas audio video".split())
+RAW = frozenset("script style noscript iframe title textarea".split())
+#: Elements that hold markup which isn't shown: they end with their own end tag, with their parent's, or at a block that they can't hold.
+HIDDEN = frozenset("template object svg annotation annotation-xml select canvas audio video".split())
+#: A block inside one of these closes nothing outside it.
+_SCOPES = frozenset(("object", "template"))
+#: Elements that end a drawing, outside the parts of it that may hold a page's elements.
+_NO_DRAWING = frozenset("b big br code em embed i img meta nobr ruby s small span strong strike sub sup table tt u var".split())
+_PAGE_IN_DRAWING = frozenset("foreignobject desc title".split())
+#: Blocks that a list of options may hold.
+_IN_SELECT = frozenset("option legend div hr".split())
 #: Foreign elements, which ``/>`` ends at once.
 FOREIGN = frozenset(("svg", "math"))
 #: Text outside all elements is judged as if it stood in one of these.
@@ -29,7 +38,7 @@ _CLOSED_BY_SIBLING = {
     "th": {"td", "th", "tr", "tbody"}, "option": {"option"}, "head": {"body"},
 }
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/>\"']+)")
 
@@ -58,16 +67,27 @@ def attributes_of(source: str) -> dict[str, str]:
 def parse(source: str) -> Page:
     """The page's elements and texts; broken markup gives what it can, and never an error."""
     page = Page()
-    stack: list[tuple[str, int]] = []  # open elements: tag, node (the nearest node for marks)
-    block, links, node = 0, 0, -1
+    stack: list[tuple[str, int]] = []  # open elements: tag, node (the nearest node for marks and what isn't shown)
+    block, links, hidden, node = 0, 0, 0, -1
     at, end = int(source.startswith("\ufeff")), len(source)
+
+    def close(depth: int) -> None:
+        nonlocal links, hidden, node
+        links -= sum(open_tag == "a" for open_tag, _ in stack[depth:])
+        hidden -= sum(open_tag in HIDDEN for open_tag, _ in stack[depth:])
+        del stack[depth:]
+        node = stack[-1][1] if stack else -1
+
+    def innermost(tags: frozenset[str]) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags), -1)
+
     while at < end:
         token = _TOKEN.match(source, at)
         at = token.end()
         tag = token["tag"]
         if tag is None:
             text = token[0]
-            if text.startswith(("<!", "<?")):
+            if text.startswith(("<!", "<?")) or hidden:
                 continue
             if not text.isspace() or page.texts:
                 page.texts.append((node, block, html.unescape(text) if "&" in text else text))
@@ -75,31 +95,43 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if token["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in MARKS and any(open_tag in BLOCKS for open_tag, _ in stack[depth:])):
-                links -= sum(open_tag == "a" for open_tag, _ in stack[depth:])
-                del stack[depth:]
-                node = stack[-1][1] if stack else -1
-            if tag in BLOCKS:
+            depth = innermost(frozenset((tag,)))
+            if depth >= 0 and not (tag in MARKS and any(open_tag in BLOCKS for open_tag, _ in stack[depth:])):
+                close(depth)
+            if tag in BLOCKS and not hidden:
                 block += 1
             continue
+        drawing = -1
+        if hidden:
+            drawing = innermost(frozenset(("svg",)))
+            if drawing >= 0 and innermost(_PAGE_IN_DRAWING) > drawing:
+                drawing = -1
+            if drawing >= 0 and (tag in _NO_DRAWING or tag in BLOCKS):
+                close(drawing)
+                drawing = -1
+            if tag in BLOCKS and tag not in _IN_SELECT and (depth := innermost(frozenset(("select",)))) >= 0:
+                close(depth)
         if tag in BLOCKS:
-            block += 1
             depth = len(stack) - 1
-            while depth >= 0 and (stack[depth][0] not in BLOCKS or tag in _CLOSED_BY_SIBLING.get(stack[depth][0], ())):
+            while depth >= 0 and stack[depth][0] not in _SCOPES and (stack[depth][0] not in BLOCKS or tag in _CLOSED_BY_SIBLING.get(stack[depth][0], ())):
                 if stack[depth][0] in BLOCKS:
-                    links -= sum(open_tag == "a" for open_tag, _ in stack[depth:])
-                    del stack[depth:]
-                    node = stack[-1][1] if stack else -1
+                    close(depth)
                 depth -= 1
-        if tag == "br":
+            block += not hidden
+        if tag == "br" and not hidden:
             page.texts.append((node, block, " "))
             page.linked.append(False)
         if tag in FOREIGN and token["attrs"].endswith("/"):
             continue
-        if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(source, at)
-            at = close.end() if close else end
+        if tag in RAW and drawing < 0:
+            ending = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(source, at)
+            at = ending.end() if ending else end
+            continue
+        if hidden or tag in HIDDEN:
+            if tag not in VOID and not token["attrs"].endswith("/"):
+                hidden += tag in HIDDEN
+                links += tag == "a"
+                stack.append((tag, node))
             continue
         if tag not in MARKS:
             page.tags.append(tag)

@@ -328,3 +328,20 @@ def test_pages_that_repeat_and_columns_that_clash(spark, trees):
     assert {r.text for r in got if r.page_id == 1} == {("It was a long night on the river. " * 3).strip()} and all(r.n_chars == len(r.text) for r in got)
     assert next(r.text for r in got if r.page_id == 2).count("One more sentence") == 20000
     assert html_text.extract(df.limit(0), trees).count() == 0
+
+
+FIRST, SECOND = (" ".join(f"{w}{i} and so the story of the river goes on, told at length." for i in range(12)) for w in ("one", "two"))
+
+
+@pytest.mark.parametrize("between", [
+    "<!-->", "<!--->", "<!-- a --!>", "<!-- a -->", "<!---->", "<div><svg><path d='x'></div>", "<svg><path d='x'>", "<svg><g><svg/><title>Icon</svg>", "<div><video src=a></div>", "<div><audio src=a></div>",
+    "<div><canvas id=c></div>", "<div><object data=x></div>", "<div><template><p>hidden</div>", "<div><select><option>a<option>b</div>", "<select><option>a", "<object><object>x</object>y</object>",
+    "<object><p>x</p><div>y</div></object>", "<video><source src=a>no video</video>", "<video><video>x</video>y</video>", "<svg><foreignObject><p>x</p></foreignObject><text>y</text></svg>",
+    "<div><svg><a href=x><text>y</text></div>", "<canvas><p>x</p></canvas>", "<svg><style>p{}</svg>", "<script>'<p>'</script>", "<p><svg><path></p>",
+])
+def test_what_is_not_shown_hides_nothing_else(between):
+    page = parse(f"<html><body><article><p>{FIRST}</p>{between}<p>{SECOND}</p></article></body></html>")
+    assert " ".join(t for _, _, t in page.texts).split() == f"{FIRST} {SECOND}".split()
+    places = {page.tags[node] for node, _, text in page.texts if text.strip()}
+    assert places == {"p"} and not any(page.linked)
+    assert len({block for _, block, text in page.texts if text.strip()}) == 2

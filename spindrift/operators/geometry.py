@@ -107,11 +107,23 @@ def distance(a: Vector, b: Vector) -> Column:
     return F.sqrt(sum((F.pow(p - q, 2) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
 
 
-def probe_position(depth: Column, ap: Column, ml: Column, pitch: Column, roll: Column, right: Column) -> Vector:
-    """AP, ML and DV of a site at a depth along a probe that leans by pitch and roll (degrees); the hemisphere sets ML's sign."""
-    a, b = F.radians(pitch), F.radians(roll)
-    side = F.when(right, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return ap + depth * F.sin(a), ml + side * depth * F.sin(b), depth * F.cos(a) * F.cos(b)
+def probe_position(start: Vector, inserted: Column, alpha: Column, beta: Column, across: Column, along: Column, right: Column, middle: float = 35.0) -> Vector:
+    """AP, ML and DV (mm) of a site of an implanted probe.
+
+    The probe enters at ``start`` (AP, ML, DV), is ``inserted`` mm deep and leans by ``alpha``
+    from the vertical, towards ``beta`` (degrees). ``across`` and ``along`` are the site's place on
+    the probe (micrometres), counted from its left edge and its tip. On the right side the lean
+    goes outward by the cosine of ``beta`` and backward by its sine; on the left side it goes
+    forward by the cosine and inward by the sine. A site beside the ``middle`` line is moved by
+    its distance times the root of two, with the sign that its side has.
+    """
+    a, b = F.radians(alpha), F.radians(beta)
+    depth = inserted - along / 1000
+    lean = F.sin(a) * depth
+    beside = F.when(right, across - middle).otherwise(middle - across) * F.lit(2**0.5 / 1000)
+    ap = F.when(right, -lean * F.sin(b)).otherwise(lean * F.cos(b))
+    ml = F.when(right, lean * F.cos(b)).otherwise(-lean * F.sin(b))
+    return start[0] + ap + beside, start[1] + ml + beside, start[2] - F.cos(a) * depth
 
 
 def onto_x(x: Column, y: Column, z: Column) -> tuple[Column, Column]:

@@ -150,34 +150,34 @@ def roc_area(y: np.ndarray, mu: np.ndarray, weight: np.ndarray, thresholds: int
     return float(-((tpr[1:] + tpr[:-1]) / 2 * np.diff(fpr)).sum())
 
 
-def scores(family: str, y: np.ndarray, mu: np.ndarray, null_mu: np.ndarray | float, weight: np.ndarray, columns: int, full_loglik: float | None = None) -> dict:
-    """Scores of a fit with ``columns`` covariates against the null model.
+def scores(family: str, y: np.ndarray, mu: np.ndarray, null_mu: np.ndarray | float, weight: np.ndarray, columns: int) -> dict:
+    """Scores of a fit with ``columns`` covariates against the null model, each from the fit's own likelihood.
 
-    ``nagelkerke`` divides by ``1 - exp(null / (2 n))``; Cox-Snell takes ``full_loglik``, the
-    full model's, where a sub-model is scored.
+    ``nagelkerke`` divides Cox-Snell by its largest value, ``1 - exp(2 null / n)``, and
+    ``nagelkerke_ref`` by ``1 - exp(null / (2 n))``.
     """
     n = float(weight.sum())
     one, none = log_likelihood(family, y, mu, weight), log_likelihood(family, y, np.broadcast_to(np.asarray(null_mu, float), y.shape), weight)
     best = {"bernoulli": 0.0, "gaussian": 0.0}.get(family)
     if best is None:
         best = log_likelihood(family, y, np.maximum(y, np.spacing(1)), weight)
-    cox = 1 - math.exp(min(-2 / n * ((one if full_loglik is None else full_loglik) - none), 700))
+    cox = 1 - math.exp(min(-2 / n * (one - none), 700))
     spikes, r2 = float((weight * y).sum()), 1 - one / none if none else None
     w = weight / n
     dy, dm = y - w @ y, mu - w @ mu
     low = math.sqrt((w @ dy**2) * (w @ dm**2))
     up = y > 0
     tjur = float(np.average(mu[up], weights=weight[up]) - np.average(mu[~up], weights=weight[~up])) if up.any() and not up.all() else None
-    divisor = 1 - math.exp(min(none / (2 * n), 700))
+    most, most_ref = (1 - math.exp(min(power * none / n, 700)) for power in (2, 0.5))
     return {
         "n": int(n), "loglik": one, "null_loglik": none, "deviance": 2 * (best - one), "pseudo_r2": r2, "llr": 2 * (one - none), "llr_per_spike": 2 * (one - none) / spikes if spikes else None,
         "accuracy": float((weight * ((mu > 0.5) == up)).sum() / n) if family == "bernoulli" else None, "auc": roc_area(y, mu, weight) if family == "bernoulli" else None,
-        "cox_snell": cox, "nagelkerke": cox / divisor if divisor else None, "pearson2": float((w @ (dy * dm)) / low) ** 2 if low > 1e-12 else None,
+        "cox_snell": cox, "nagelkerke": cox / most if most else None, "nagelkerke_ref": cox / most_ref if most_ref else None, "pearson2": float((w @ (dy * dm)) / low) ** 2 if low > 1e-12 else None,
         "adjusted_r2": 1 - (n - 1) / (n - columns) * (1 - r2) if r2 is not None and n > columns else None, "tjur": tjur,
     }
 
 
-SCORES = ", ".join(f"{c} {'bigint' if c == 'n' else 'double'}" for c in "n loglik null_loglik deviance pseudo_r2 llr llr_per_spike accuracy auc cox_snell nagelkerke pearson2 adjusted_r2 tjur".split())
+SCORES = ", ".join(f"{c} {'bigint' if c == 'n' else 'double'}" for c in "n loglik null_loglik deviance pseudo_r2 llr llr_per_spike accuracy auc cox_snell nagelkerke nagelkerke_ref pearson2 adjusted_r2 tjur".split())
 
 
 def design_rows(frames: DataFrame, features: list[str], unit: str = "unit", y: str = "y") -> DataFrame:
@@ -223,12 +223,11 @@ def backward_scores(rows: DataFrame, final: list[str], family: str = "bernoulli"
         y, weight = part["y"].to_numpy(float), part["weight"].to_numpy(float)
         y = (y > 0.5).astype(float) if family == "bernoulli" else y
         null = float(weight @ y / weight.sum())
-        found, full = [], None
+        found = []
         for left_out in [None, *(final if len(final) > 1 else [])]:
             x = standardised(one_hot(part[[f for f in final if f != left_out]].to_numpy())[0], weight)
             beta = fit(x, y, weight, family, lam)
-            one = scores(family, y, mean_of(family, beta[0] + x @ beta[1:]), null, weight, x.shape[1], full)
-            full = one["loglik"] if full is None else full
+            one = scores(family, y, mean_of(family, beta[0] + x @ beta[1:]), null, weight, x.shape[1])
             found.append({"unit": key[0], "left_out": left_out} | one)
         return pd.DataFrame(found)
 

@@ -103,7 +103,7 @@ def glm_group_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = glm.backward_scores(glm.design_rows(_unit_hours(spark, sf_dir), FEATURES), FEATURES)
-    return found.select("unit", "left_out", "n", *(F.round(c, 4).alias(c) for c in ("auc", "loglik", "cox_snell", "nagelkerke", "pearson2", "adjusted_r2", "tjur", "accuracy", "pseudo_r2", "llr")))
+    return found.select("unit", "left_out", "n", *(F.round(c, 4).alias(c) for c in ("auc", "loglik", "cox_snell", "nagelkerke", "nagelkerke_ref", "pearson2", "adjusted_r2", "tjur", "accuracy", "pseudo_r2", "llr")))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

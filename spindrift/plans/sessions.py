@@ -21,7 +21,7 @@ HOUR, WEEK = 3_600_000_000, 604_800_000_000
 def common_event_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours with an error and a middling total, by week: of each week the first so many that every week has as many."""
     hours = spikes(spark, sf_dir, "event_type").groupBy(F.expr(f"us div {HOUR}").alias("frame")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
-    chosen = hours.where("errors > 0 AND n BETWEEN 2 AND 150").withColumn("session", F.expr("frame div 168").cast("int")).where("session < 4")
+    chosen = hours.where("errors > 0 AND n BETWEEN 2 AND 150").withColumn("session", F.expr("frame div 168").cast("int"))
     return windows.common_events(chosen, "session", "frame").select("session", "frame", "nth")
 
 
@@ -122,8 +122,10 @@ def fold_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of sites along leaning probes, and head angles where they mean something."""
-    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    at = geometry.probe_position(F.col("l_quantity") / 10, F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") - 25, F.col("l_discount") * 100, F.col("l_returnflag") == "R")
+    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    start = F.col("l_discount") * 10, F.col("l_tax") * 10, -F.col("l_discount")
+    place = (F.col("l_partkey") % 70).cast("double"), F.col("l_quantity") * 76
+    at = geometry.probe_position(start, F.lit(5.5), F.col("l_quantity") - 25, F.col("l_discount") * 900, *place, F.col("l_returnflag") == "R")
     roll, azimuth = geometry.valid_angles(F.col("l_quantity") * 3 - 90, F.col("l_quantity") * 7 - 180, F.col("l_discount") * 10)
     return rows.select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(name) for c, name in zip(at, ("ap", "ml", "dv"), strict=True)), roll.alias("roll"), azimuth.alias("azimuth"))
 
@@ -177,7 +179,7 @@ ORACLE_SQL = {
         SELECT session, frame, {_DER2}, round(jump, 5) AS jump_5, round(cum, 5) AS cum_5, round(jump * sin(turn), 5) AS dx_5, round(jump * cos(turn), 5) AS dy_5 FROM m WINDOW w AS (PARTITION BY session ORDER BY frame)""",
     "common_event_count": f"""
         WITH {_H}, n AS (SELECT frame, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM h GROUP BY frame),
-        k AS (SELECT (frame // 168)::INT AS session, frame, row_number() OVER (PARTITION BY frame // 168 ORDER BY frame) AS nth FROM n WHERE errors > 0 AND n BETWEEN 2 AND 150 AND frame // 168 < 4),
+        k AS (SELECT (frame // 168)::INT AS session, frame, row_number() OVER (PARTITION BY frame // 168 ORDER BY frame) AS nth FROM n WHERE errors > 0 AND n BETWEEN 2 AND 150),
         m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM k GROUP BY session))
         SELECT session, frame, nth FROM k, m WHERE nth <= m""",
     "ratemap_pairs": f"""
@@ -224,9 +226,11 @@ ORACLE_SQL = {
         r AS (SELECT event_type, frame, i, row_number() OVER (PARTITION BY i, event_type ORDER BY {_U("'fold|' || i || '|' || event_type || '|' || frame")}, frame) - 1 AS place FROM d CROSS JOIN range(2) t(i))
         SELECT event_type, frame, (place * 5 // n)::INT AS fold, 'block 0' AS method FROM b UNION ALL SELECT event_type, frame, (place % 5)::INT, 'random ' || i FROM r""",
     "probe_positions": """
-        WITH a AS (SELECT *, l_quantity / 10 AS d, radians(l_quantity - 25) AS p, radians(l_discount * 100) AS r, abs(l_discount * 10) <= 0.9 AS fine FROM lineitem)
-        SELECT l_orderkey, l_linenumber, round(l_discount + d * sin(p), 6) AS ap, round(l_tax + CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END * d * sin(r), 6) AS ml, round(d * cos(p) * cos(r), 6) AS dv,
-            CASE WHEN fine THEN l_quantity * 3 - 90 END AS roll, CASE WHEN fine THEN l_quantity * 7 - 180 END AS azimuth FROM a""",
+        WITH a AS (SELECT *, l_quantity * 76 AS y, l_partkey % 70 AS x, pi() * (l_quantity - 25) / 180 AS alpha, pi() * (l_discount * 900) / 180 AS beta, abs(l_discount * 10) <= 0.9 AS fine FROM lineitem),
+        s AS (SELECT *, 5.5 - y / 1000.0 AS reach, sqrt(power(2.0 * (x - 35), 2) / 2) * sign(x - 35) / 1000.0 AS moved FROM a)
+        SELECT l_orderkey, l_linenumber, round(l_discount * 10 + CASE WHEN l_returnflag = 'R' THEN moved - sin(alpha) * sin(beta) * reach ELSE cos(beta) * sin(alpha) * reach - moved END, 6) AS ap,
+            round(l_tax * 10 + CASE WHEN l_returnflag = 'R' THEN moved + cos(beta) * sin(alpha) * reach ELSE -sin(alpha) * sin(beta) * reach - moved END, 6) AS ml,
+            round(-l_discount - cos(alpha) * reach, 6) AS dv, CASE WHEN fine THEN l_quantity * 3 - 90 END AS roll, CASE WHEN fine THEN l_quantity * 7 - 180 END AS azimuth FROM s""",
     "mean_directions": """
         WITH m AS (SELECT label, avg(embedding[1]::DOUBLE) AS x, avg(embedding[2]::DOUBLE) AS y, avg(embedding[3]::DOUBLE) AS z FROM embeddings GROUP BY label)
         SELECT label, round(atan2(y, x), 6) AS azimuth, round(atan2(z, sqrt(x * x + y * y)), 6) AS pitch FROM m""",

@@ -271,3 +271,46 @@ def test_decays_are_recovered():
     for a, beta, b in ((2.0, 1.5, 0.5), (-1.0, 4.0, 0.0)):
         found = signal.fit_decay(x, a * np.exp(-x / beta) + b * np.exp(-0.5 * ((x - 6) / 0.8) ** 2), 6, 0.8)
         assert np.allclose(found, (a, beta, b), rtol=0.06, atol=0.05)
+
+
+@pytest.mark.parametrize("mean", [0.3, 7.0, 745.0, 800.5, 3600.0, 1e6])
+def test_poisson_tail_equals_exact_sums(mean):
+    """Terms summed in 60 digits from both ends of what counts."""
+    import decimal
+
+    with decimal.localcontext() as exact:
+        exact.prec = 60
+        m, spread = decimal.Decimal(mean), int(8 * mean**0.5) + 30
+        low = max(0, int(mean) - spread)
+        log = -m + (m.ln() * low) - sum((decimal.Decimal(i).ln() for i in range(2, low + 1)), decimal.Decimal(0)) if low < 5000 else None
+        if log is None:  # Stirling's series, to far beyond double precision here
+            n = decimal.Decimal(low)
+            pi = decimal.Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+            log = -m + m.ln() * n - (n * n.ln() - n + (2 * pi * n).ln() / 2 + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5) - 1 / (1680 * n**7))
+        term, terms = log.exp(), []
+        for k in range(low, int(mean) + spread):
+            terms.append(term)
+            term *= m / (k + 1)
+        counts = np.unique(np.linspace(low, len(terms) + low - 1, 25).astype(int))
+        above = [float(sum(terms[c - low + 1 :]) + terms[c - low] / 2) for c in counts]
+    got = pairs.corrected_tail(counts, np.full(len(counts), mean))
+    assert np.allclose(got, above, rtol=1e-9, atol=1e-13)
+
+
+def test_poisson_tail_edges(spark):
+    rows = [(0, 0.0, 0.5), (3, 0.0, 0.0), (None, 2.0, None), (2, None, None), (0, 2.0, 1 - np.exp(-2) / 2), (1200, 800.0, None)]
+    got = spark.createDataFrame([(k, m) for k, m, _ in rows], "k long, m double").select(pairs.poisson_tail(F.col("k"), F.col("m")).alias("p")).collect()
+    assert got[5].p < 1e-30
+    for (*_, want), r in zip(rows[:5], got, strict=False):
+        assert r.p is None if want is None else abs(r.p - want) < 1e-12
+
+
+def test_probe_positions_by_hand(spark):
+    """A probe straight down; one that leans by 30 degrees forward (left) and outward (right); a site beside the middle line."""
+    rows = [(0.0, 0.0, 35.0, False), (30.0, 0.0, 35.0, False), (30.0, 0.0, 35.0, True), (30.0, 90.0, 35.0, False), (30.0, 90.0, 35.0, True), (0.0, 0.0, 25.0, False), (0.0, 0.0, 25.0, True)]
+    frame = spark.createDataFrame(rows, "a double, b double, x double, right boolean")
+    at = geometry.probe_position((F.lit(1.0), F.lit(2.0), F.lit(-0.5)), F.lit(5.0), F.col("a"), F.col("b"), F.col("x"), F.lit(1000.0), F.col("right"))
+    got = [tuple(r) for r in frame.select(*(c.alias(n) for c, n in zip(at, ("ap", "ml", "dv"), strict=True))).collect()]
+    c, m = -0.5 - 4 * np.cos(np.pi / 6), 0.01 * np.sqrt(2)
+    wanted = [(1, 2, -4.5), (3, 2, c), (1, 4, c), (1, 0, c), (-1, 2, c), (1 + m, 2 + m, -4.5), (1 - m, 2 - m, -4.5)]
+    assert np.allclose(got, wanted)

@@ -324,7 +324,7 @@ def test_backward_scores_by_their_definitions(spark, sf_dir, spikes):
     rows = {(r.unit, r.left_out): r for r in models.backward_scores(spark, sf_dir).collect()}
     assert set(rows) == {(u, f) for u in responses for f in (None, "hour", "level", "weekday")}
     for unit, count in responses.items():
-        y, full = (count > 0) * 1.0, None
+        y = (count > 0) * 1.0
         for left_out in (None, "hour", "level", "weekday"):
             z = np.concatenate([c[:, None] == np.unique(c) for name, c in x.items() if name != left_out], axis=1).astype(float)
             z = z[:, z.std(axis=0) > 0]
@@ -332,13 +332,12 @@ def test_backward_scores_by_their_definitions(spark, sf_dir, spikes):
             beta = glm.fit(z, y, np.ones(720), "bernoulli")
             mu, n, null = 1 / (1 + np.exp(-(beta[0] + z @ beta[1:]))), 720, y.mean()
             one, none = (y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum(), (y * np.log(null) + (1 - y) * np.log(1 - null)).sum()
-            full = one if full is None else full
             r, r2 = rows[unit, left_out], 1 - one / none
             at = np.linspace(0, 1, 100)
             tpr, fpr = (np.array([(mu[y == k] >= t).mean() for t in at]) for k in (1, 0))
-            cox = 1 - np.exp(-2 / n * (full - none))
+            cox = 1 - np.exp(-2 / n * (one - none))
             wanted = {
-                "loglik": one, "cox_snell": cox, "nagelkerke": cox / (1 - np.exp(none / (2 * n))), "pearson2": np.corrcoef(y, mu)[0, 1] ** 2, "adjusted_r2": 1 - (n - 1) / (n - z.shape[1]) * (1 - r2),
+                "loglik": one, "cox_snell": cox, "nagelkerke": cox / (1 - np.exp(2 * none / n)), "nagelkerke_ref": cox / (1 - np.exp(none / (2 * n))), "pearson2": np.corrcoef(y, mu)[0, 1] ** 2, "adjusted_r2": 1 - (n - 1) / (n - z.shape[1]) * (1 - r2),
                 "tjur": mu[y == 1].mean() - mu[y == 0].mean(), "accuracy": ((mu > 0.5) == y).mean(), "pseudo_r2": r2, "llr": 2 * (one - none),
             }
             for name, value in wanted.items():

@@ -143,6 +143,13 @@ def permutation_swap(spark: SparkSession, sf_dir: str, shuffles: int = 1000) ->
     return found.select("c_mktsegment", tenths("true_diff"), tenths("null_mean"), F.round(F.col("null_std") / 100, 3).alias("null_std"), F.round("z", 5).alias("z"), F.round("p", 5).alias("p"))
 
 
+def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How discount and tax go together for each supplier, and how likely that is by chance."""
+    rows = load(spark, sf_dir, "lineitem", "l_suppkey", "l_discount", "l_tax")
+    found = pairs.pearson(rows, ["l_suppkey"], "l_discount", "l_tax")
+    return found.select("l_suppkey", "n", F.round("r", 6).alias("r"), F.round(pairs.pearson_p(F.col("r"), F.col("n")), 6).alias("p"))
+
+
 def shifted_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spikes that are left of each shifted copy of all trains."""
     rows = spikes(spark, sf_dir)
@@ -206,7 +213,7 @@ def modulation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        common_units_three_sessions, unit_set_operations, unit_pairs, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, spearman_stability,
+        common_units_three_sessions, unit_set_operations, unit_pairs, pair_attributes, connection_types, cch_counts, cch_baseline_p, connection_class, corr_matrix, pearson_conditions, correlation_p, spearman_stability,
         wilcoxon, mann_whitney, permutation_swap, shifted_trains, jittered_bins, null_connections, random_units, condition_features, top_modulated, zeros_split, modulation_test,
     )
 }

@@ -314,3 +314,40 @@ def test_probe_positions_by_hand(spark):
     c, m = -0.5 - 4 * np.cos(np.pi / 6), 0.01 * np.sqrt(2)
     wanted = [(1, 2, -4.5), (3, 2, c), (1, 4, c), (1, 0, c), (-1, 2, c), (1 + m, 2 + m, -4.5), (1 - m, 2 - m, -4.5)]
     assert np.allclose(got, wanted)
+
+
+def integral_of_cosines(low, high, power):
+    """By Gauss-Legendre over 64 pieces."""
+    nodes, weights = np.polynomial.legendre.leggauss(40)
+    edges = np.linspace(low, high, 65)
+    mid, half = (edges[1:] + edges[:-1]) / 2, np.diff(edges) / 2
+    return float((np.cos(mid[:, None] + half[:, None] * nodes) ** power @ weights * half).sum())
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 10, 31, 62, 63, 1000, 1_000_000])
+def test_p_of_a_correlation_equals_its_integral(n):
+    """r is the sine of an angle whose density under no correlation is a power of its cosine."""
+    rs = [v for z in (0.001, 0.2, 1.0, 1.96, 3.0, 6.0) for v in [z / np.sqrt(n)] if v < 1] + [0.5 if n < 1000 else 0.01]
+    reach = min(np.pi / 2, 45 / np.sqrt(n))
+    whole = integral_of_cosines(0, reach, n - 3)
+    wanted = [integral_of_cosines(np.arcsin(r), min(np.pi / 2, np.arcsin(r) + reach), n - 3) / whole for r in rs]
+    assert np.allclose(pairs.correlation_tails(np.array(rs), np.full(len(rs), n)), wanted, rtol=1e-9, atol=1e-12)
+    assert np.array_equal(pairs.correlation_tails(-np.array(rs), np.full(len(rs), n)), pairs.correlation_tails(np.array(rs), np.full(len(rs), n)))
+
+
+def test_p_of_odd_correlations(spark):
+    rows = [(0.5, 2), (None, 10), (1.0, 10), (-1.0, 3), (0.0, 5), (0.5, None), (0.5, 3)]
+    got = [r.p for r in spark.createDataFrame(rows, "r double, n long").select(pairs.pearson_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    assert got[:6] == [None, None, 0.0, 0.0, 1.0, None] and abs(got[6] - 2 / 3) < 1e-12
+
+
+def test_correlations_of_all_suppliers(spark, sf_dir):
+    """r by its definition, p by the integral over all angles."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_discount", "l_tax").toPandas().astype(float)
+    got = {r.l_suppkey: r for r in pair_plans.correlation_p(spark, sf_dir).collect()}
+    assert set(got) == set(rows["l_suppkey"])
+    for key, part in rows.groupby("l_suppkey"):
+        r = np.corrcoef(part["l_discount"], part["l_tax"])[0, 1]
+        reach = min(np.pi / 2, 45 / np.sqrt(len(part)))
+        p = integral_of_cosines(np.arcsin(abs(r)), min(np.pi / 2, np.arcsin(abs(r)) + reach), len(part) - 3) / integral_of_cosines(0, reach, len(part) - 3)
+        assert got[key].n == len(part) and abs(got[key].r - r) < 1e-5 and abs(got[key].p - p) < 1e-5

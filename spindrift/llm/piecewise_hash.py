@@ -42,17 +42,15 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 
 def _signature(data: bytes, hashes: np.ndarray, block: int) -> str:
-    """Two letters for each chunk; of a run of equal chunks three are kept, as their number says little."""
+    """Two letters for each chunk. Where a repetitive text ends chunks far too often, of each run of equal chunks three are kept."""
     ends = np.flatnonzero((hashes & np.uint32(block - 1)) == 0) + 1
     cuts = [0, *ends.tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
-    found: list[int] = []
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        code = xxhash.xxh32_intdigest(data[low:high]) & 0xFFF
-        if found[-3:] != [code] * 3:
-            found.append(code)
-    return "".join(_LETTERS[c >> 6] + _LETTERS[c & 63] for c in found)
+    codes = [xxhash.xxh32_intdigest(data[low:high]) & 0xFFF for low, high in zip(cuts, cuts[1:], strict=False)]
+    if len(codes) > 4 * CHUNKS:
+        codes = [c for i, c in enumerate(codes) if i < 3 or codes[i - 3 : i] != [c] * 3]
+    return "".join(_LETTERS[c >> 6] + _LETTERS[c & 63] for c in codes)
 
 
 def fingerprint(text: str | None) -> str:
@@ -62,11 +60,7 @@ def fingerprint(text: str | None) -> str:
     block = LEAST_BLOCK
     while block * CHUNKS < len(data):
         block *= 2
-    one = _signature(data, hashes, block)
-    while len(one) // 2 < CHUNKS // 4 and block > LEAST_BLOCK:  # a text of few different windows
-        block //= 2
-        one = _signature(data, hashes, block)
-    return f"{block}:{one}:{_signature(data, hashes, 2 * block)}"
+    return f"{block}:{_signature(data, hashes, block)}:{_signature(data, hashes, 2 * block)}"
 
 
 def _common(a: list[str], b: list[str]) -> int:

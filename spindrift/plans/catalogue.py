@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.plans import events, frames, maps, models, pairs, sessions
+from spindrift.plans import events, frames, maps, models, pairs, recordings, sessions
 
-_PLANS = [events, frames, maps, pairs, models, sessions]
+_PLANS = [events, frames, maps, pairs, models, sessions, recordings]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -1,4 +1,4 @@
-"""Queries on raw recordings and flat arrays, written from the tables first."""
+"""Queries on raw recordings and flat arrays, written from the tables first, and on clusters of vectors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.places import scratch
-from spindrift.operators import joins, snippets
+from spindrift.operators import clusters, joins, snippets
 from spindrift.sources import arrays
 from spindrift.sources.tables import load, spikes
 
@@ -63,7 +63,27 @@ def npy_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("part", "place", F.posexplode("values").alias("entry", "x")).select("part", "place", "entry", F.round("x", 6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays)}
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings", "embedding", "label").select(F.col("label").alias("cluster"), F.col("embedding").alias("v"))
+
+
+def cluster_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calinski-Harabasz, Davies-Bouldin and silhouette of all labelled vectors."""
+    found = clusters.indices(_labelled(spark, sf_dir))
+    return found.select("n", "clusters", *(F.round(c, 5).alias(c) for c in ("calinski_harabasz", "davies_bouldin", "silhouette")))
+
+
+def cluster_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.silhouettes(_labelled(spark, sf_dir)).select("cluster", "n", F.round("silhouette", 5).alias("silhouette"))
+
+
+QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays, cluster_indices, cluster_silhouettes)}
+
+_LABELLED = """
+    v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total FROM v a CROSS JOIN v b GROUP BY ALL),
+    m AS (SELECT vec_id, d.label, max(CASE WHEN d.label = other AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN d.label <> other THEN total / n END) AS b FROM d JOIN z ON z.label = other GROUP BY ALL),
+    s AS (SELECT label, CASE WHEN a IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END AS s FROM m)"""
 
 _SAMPLES = """
     s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, [floor(o_totalprice / 50), o_custkey % 1000, dayofyear(o_orderdate), floor(-o_totalprice / 70)]::INT[] AS v FROM orders),
@@ -89,4 +109,13 @@ ORACLE_SQL = {
     "npy_arrays": """
         WITH p AS (SELECT (vec_id % 2)::INT AS part, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1 AS place, embedding FROM embeddings)
         SELECT part, place, i::INT AS entry, round(embedding[i + 1]::DOUBLE, 6) AS x FROM p CROSS JOIN range(64) r(i)""",
+    "cluster_silhouettes": f"WITH {_LABELLED} SELECT label AS cluster, count(*) AS n, round(avg(s), 5) AS silhouette FROM s GROUP BY label",
+    "cluster_indices": f"""
+        WITH {_LABELLED}, x AS (SELECT vec_id, label, i, v[i] AS x FROM v CROSS JOIN range(1, 65) r(i)),
+        c AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT i, avg(x) AS m FROM x GROUP BY i),
+        t AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM z) AS k, (SELECT sum(c.n * pow(c.m - g.m, 2)) FROM c JOIN g USING (i)) AS between, (SELECT sum(pow(x - m, 2)) FROM x JOIN c USING (label, i)) AS within),
+        o AS (SELECT vec_id, label, sqrt(sum(pow(x - m, 2))) AS d FROM x JOIN c USING (label, i) GROUP BY ALL), w AS (SELECT label, avg(d) AS w FROM o GROUP BY label),
+        p AS (SELECT a.label AS one, b.label AS two, sqrt(sum(pow(a.m - b.m, 2))) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
+        r AS (SELECT one, max((x.w + y.w) / d) AS r FROM p JOIN w x ON x.label = one JOIN w y ON y.label = two GROUP BY one)
+        SELECT n, k AS clusters, round(between * (n - k) / (within * (k - 1)), 5) AS calinski_harabasz, (SELECT round(avg(r), 5) FROM r) AS davies_bouldin, (SELECT round(avg(s), 5) FROM s) AS silhouette FROM t""",
 }

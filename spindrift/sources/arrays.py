@@ -128,7 +128,9 @@ def ranges_read(pieces: DataFrame, channels: int) -> DataFrame:
             file.close()
 
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes)
-    return pieces.repartitionByRange("path", "start").sortWithinPartitions("path", "start").mapInArrow(read, f"{kinds}, values array<smallint>")
+    session = pieces.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # pieces are small, what they read isn't
+    return pieces.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start").mapInArrow(read, f"{kinds}, values array<smallint>")
 
 
 class _Rows(InputPartition):

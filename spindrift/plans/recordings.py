@@ -1,4 +1,4 @@
-"""Queries on raw recordings and flat arrays, written from the tables first, and on clusters of vectors."""
+"""Queries on raw recordings and flat arrays, written from the tables first, on clusters and on blocks of covariates."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.places import scratch
-from spindrift.operators import clusters, joins, snippets
+from spindrift.operators import clusters, joins, snippets, standardise
 from spindrift.sources import arrays
 from spindrift.sources.tables import load, spikes
 
@@ -77,7 +77,15 @@ def cluster_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.silhouettes(_labelled(spark, sf_dir)).select("cluster", "n", F.round("silhouette", 5).alias("silhouette"))
 
 
-QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays, cluster_indices, cluster_silhouettes)}
+def block_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity and price of each line as one block, discount as another, tax without penalty."""
+    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = rows.select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("x"))
+    found, _ = standardise.standardised_blocks(rows, "x", [1, 1, 2, 0])
+    return found.select("l_orderkey", "l_linenumber", *(F.round(F.col("z")[i], 5).alias(name) for i, name in enumerate(("quantity", "price", "discount", "tax"))))
+
+
+QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays, cluster_indices, cluster_silhouettes, block_standard)}
 
 _LABELLED = """
     v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT label, count(*) AS n FROM v GROUP BY label),
@@ -118,4 +126,10 @@ ORACLE_SQL = {
         p AS (SELECT a.label AS one, b.label AS two, sqrt(sum(pow(a.m - b.m, 2))) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
         r AS (SELECT one, max((x.w + y.w) / d) AS r FROM p JOIN w x ON x.label = one JOIN w y ON y.label = two GROUP BY one)
         SELECT n, k AS clusters, round(between * (n - k) / (within * (k - 1)), 5) AS calinski_harabasz, (SELECT round(avg(r), 5) FROM r) AS davies_bouldin, (SELECT round(avg(s), 5) FROM s) AS silhouette FROM t""",
+    "block_standard": """
+        WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS q, avg(l_extendedprice) AS p, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem),
+        x AS (SELECT l_orderkey, l_linenumber, n, l_quantity - q AS q, l_extendedprice - p AS p, l_discount - d AS d, l_tax - t AS t FROM lineitem CROSS JOIN m),
+        a AS (SELECT sum(p * q) / sum(q * q) AS slope FROM x), y AS (SELECT *, p - slope * q AS rest FROM x CROSS JOIN a),
+        s AS (SELECT sqrt(avg(q * q)) AS sq, sqrt(avg(rest * rest)) AS sp, sqrt(avg(d * d)) AS sd, sqrt(avg(t * t)) AS st FROM y)
+        SELECT l_orderkey, l_linenumber, round(q / sq, 5) AS quantity, round(rest / sp, 5) AS price, round(d / sd, 5) AS discount, round(t / st, 5) AS tax FROM y CROSS JOIN s""",
 }

@@ -1,4 +1,4 @@
-"""Queries on raw recordings and flat arrays, written from the tables first, on clusters and on blocks of covariates."""
+"""Queries on raw recordings, flat arrays and result tables, written from the tables first, on clusters and on blocks of covariates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.places import scratch
 from spindrift.operators import clusters, joins, snippets, standardise
-from spindrift.sources import arrays
+from spindrift.sources import arrays, updates
 from spindrift.sources.tables import load, spikes
 
 #: Channels of the recording that stands for ``orders``.
@@ -85,7 +85,18 @@ def block_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", *(F.round(F.col("z")[i], 5).alias(name) for i, name in enumerate(("quantity", "price", "discount", "tax"))))
 
 
-QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays, cluster_indices, cluster_silhouettes, block_standard)}
+def updated_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as a table by nation, in which those with orders then get their number and total."""
+    path = scratch(spark, "profiles")
+    load(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal").withColumns({"n": F.lit(None).cast("bigint"), "total": F.lit(None).cast("double")}).write.partitionBy("c_nationkey").parquet(path)
+    sums = load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    nations = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    updates.update(spark, path, nations.join(sums, "c_custkey"), ["c_custkey"], ["c_nationkey"])
+    found = updates.table_at(spark, path, nations.select("c_nationkey").schema)
+    return found.select("c_custkey", "c_nationkey", "c_acctbal", "n", F.round("total", 2).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (snippet_means, drawn_snippets, npy_arrays, cluster_indices, cluster_silhouettes, block_standard, updated_profiles)}
 
 _LABELLED = """
     v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT label, count(*) AS n FROM v GROUP BY label),
@@ -132,4 +143,7 @@ ORACLE_SQL = {
         a AS (SELECT sum(p * q) / sum(q * q) AS slope FROM x), y AS (SELECT *, p - slope * q AS rest FROM x CROSS JOIN a),
         s AS (SELECT sqrt(avg(q * q)) AS sq, sqrt(avg(rest * rest)) AS sp, sqrt(avg(d * d)) AS sd, sqrt(avg(t * t)) AS st FROM y)
         SELECT l_orderkey, l_linenumber, round(q / sq, 5) AS quantity, round(rest / sp, 5) AS price, round(d / sd, 5) AS discount, round(t / st, 5) AS tax FROM y CROSS JOIN s""",
+    "updated_profiles": """
+        WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)
+        SELECT c_custkey, c_nationkey, c_acctbal, n, total FROM customer LEFT JOIN o USING (c_custkey)""",
 }

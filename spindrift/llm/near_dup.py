@@ -19,15 +19,18 @@ Links are found in two passes that never emit all pairs of a band:
    whose fine estimate reaches ``FINE_FLOOR`` leave the task, to be confirmed on the full sets.
    Each member meets every block of its band. Where a band has so many blocks that it has more of
    them than a class has bands, as a passage shared by very many texts can make, its members are
-   instead grouped by each second band that they share as well, which texts that have only a
-   passage in common rarely do: the fewer rows decide.
+   instead grouped by their rarest shingles, an exact way (prefix filtering: Chaudhuri, Ganti and
+   Kaushik, 2006): of two linked sets, ordered alike, each holds a shingle of the other among its
+   own first ``n - ceil(0.75 n) + 1``. Shingles that no other component holds come first in that
+   order and need no group, so that texts that have only a passage in common seldom meet; those
+   that meet do so in blocks, as many as there are. No group is cut or left out.
    An estimate of ``SURE`` or more joins its two components at once for the rest of the task, so
    that of the pairs between two components few leave it; should such a pair not be confirmed
    after all, the pass is repeated without this.
 
-A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, and a single
-one with 8e-5, which matters in such very large bands alone; at 0.8 these are 5e-8 and 1e-6. The
-sketch filters keep estimates more than four standard deviations below 0.75.
+A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, at 0.8 with
+5e-8; one shared band is enough, however many members it has. The sketch filters keep estimates
+more than four standard deviations below 0.75.
 """
 
 from __future__ import annotations
@@ -205,7 +208,7 @@ def _compare_blocks(prune: bool):
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Pairs of different components within one block, or across two, that are not ruled out."""
-        band, second, i, j = (x.as_py() for x in key)
+        by_band, band, i, j = (x.as_py() for x in key)
         sketches, bands = _lists(rows["sketch"], SKETCH_WORDS).view(np.uint64), _lists(rows["bands"], BANDS)
         fine = np.frombuffer(b"".join(rows["fine"].to_pylist()), np.uint64).reshape(len(rows), FINE_WORDS)
         sizes, roots, classes, block = (rows[c].to_numpy() for c in ("n_shingles", "root", "cls", "block"))
@@ -224,9 +227,8 @@ def _compare_blocks(prune: bool):
                 y = others[k]
                 if joined[x] != joined[y]:
                     sure = bool(differ[k] <= sure_most)
-                    # bands shared by two components are all open: the first of them, or the first two, speak for the pair
-                    shared = bands[x][bands[x] == bands[y]][: 1 if second is None else 2].tolist()
-                    if shared == ([band] if second is None else [band, second]):
+                    # bands shared by two components are all open: the first of them speaks for the pair, or the shingles if that is a large one
+                    if not by_band or bands[x][bands[x] == bands[y]][0] == band:
                         found.append((min(classes[x], classes[y]), max(classes[x], classes[y]), sure))
                     if sure and prune:
                         joined[joined == joined[y]] = joined[x]
@@ -239,29 +241,49 @@ def _compare_blocks(prune: bool):
 def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, prune: bool) -> DataFrame:
     """Possible pairs (a, b, sure) of different components in bands that hold more than one component."""
     labelled = members.join(roots, members.cls == roots.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    opened = settle(_open_groups(labelled, ["key"]), "open-keys")
+    opened = settle(_open_groups(labelled), "open-keys")
     rows = settle(labelled.join(opened, "key"), "open-bands")
-    # members of large bands, by this and each other band, the earlier one first
-    large = rows.where(F.col("blocks") >= BANDS).join(classes.select("cls", "bands"), "cls").withColumn("own", F.array_position("bands", F.col("key")) - 1)
-    large = large.select("cls", "root", "key", "own", F.posexplode("bands").alias("at", "other")).where("at <> own")
-    earlier = F.col("at") < F.col("own")
-    large = large.select("cls", "root", F.when(earlier, F.col("other")).otherwise(F.col("key")).alias("key"), F.when(earlier, F.col("key")).otherwise(F.col("other")).alias("second")).distinct()
-    large = large.join(settle(_open_groups(large, ["key", "second"]), "open-pairs"), ["key", "second"])
-    columns = ["key", "second", "cls", "root", "blocks"]
-    rows = settle(rows.where(F.col("blocks") < BANDS).withColumn("second", F.lit(None).cast("bigint")).select(columns).unionByName(large.select(columns)), "open-rows")
+    few, many = rows.where(F.col("blocks") < BANDS), rows.where(F.col("blocks") >= BANDS).select("cls", "root").distinct()
+    columns = ["by_band", "key", "cls", "root", "blocks"]
+    rows = few.withColumn("by_band", F.lit(True)).select(columns)
+    if not many.isEmpty():
+        rows = rows.unionByName(_by_rare_shingles(settle(many, "large-bands"), classes, docs).withColumn("by_band", F.lit(False)).select(columns))
+    rows = settle(rows, "open-rows")
     fine = _texts_of(rows.select("cls").distinct(), classes, docs).mapInArrow(_fine_sketches, "cls bigint, fine binary")
     fine = fine.join(classes.select("cls", "n_shingles", "sketch", "bands"), "cls")
     rows = rows.join(settle(fine, "fine-sketches"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
     # each row meets every block once: pairs of blocks (i, j) with i <= j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return rows.groupBy("key", "second", "i", "j").applyInArrow(_compare_blocks(prune), "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return rows.groupBy("by_band", "key", "i", "j").applyInArrow(_compare_blocks(prune), "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def _open_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups with more than one component, and the number of blocks that each has."""
-    groups = rows.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return groups.where("low <> high").select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """Bands with more than one component, and the number of blocks that each has."""
+    groups = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return groups.where("low <> high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+
+
+def _by_rare_shingles(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Groups (key, cls, root, blocks) of ``members`` (cls, root), such that any two linked ones of different components meet in one.
+
+    A class comes under its first shingles in an order in which those of one component alone are
+    first, then the rarest: ``n - ceil(MIN_PERCENT n / 100) + 1`` in all, less the former, which
+    no other component has. A class that shares fewer shingles than a link takes is in no group.
+    """
+    sets = _texts_of(members.select("cls"), classes, docs).mapInArrow(_sets, "cls bigint, shingles array<bigint>")
+    sets = settle(sets.join(members, "cls").select("cls", "root", F.size("shingles").alias("size"), "shingles"), "large-sets")
+    held = sets.select("cls", "root", "size", F.explode("shingles").alias("key"))
+    shared = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    ranked = held.join(settle(shared, "shared-shingles"), "key").groupBy("cls", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ranked"))
+    first = F.expr(f"size(ranked) - ({MIN_PERCENT} * size + 99) div 100 + 1").cast("int")
+    rows = ranked.withColumn("first", first).where("first > 0").select("cls", "root", F.explode(F.slice("ranked", 1, F.col("first"))).alias("at"))
+    rows = settle(rows.select("cls", "root", F.col("at.key").alias("key")), "rare-shingles")
+    # the shingles of a passage have the same members: one of them is enough
+    alike = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")]
+    groups = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *alike).where("low <> high")
+    groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return rows.join(settle(groups.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "open-shingles"), "key")
 
 
 def _classes(marks: DataFrame) -> DataFrame:

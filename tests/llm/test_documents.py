@@ -310,3 +310,19 @@ def test_texts_that_share_a_passage_are_not_linked_by_it(spark, monkeypatch):
         rows.append((i + 2, " ".join(words[2:])))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, rows).repartition(3)).collect()}
     assert got == brute_components(rows) and len({c for _, c in got.values()}) == 30
+
+
+def test_pairs_with_one_large_band_in_common_are_compared(spark, monkeypatch):
+    """40 texts share a passage and one band; two of them are linked, and have no second band in common."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 1)
+    rng = random.Random(52)
+    passage = some_text(rng, 40)
+    rows = [(i, passage + " " + some_text(rng, 40)) for i in range(39)]
+    rows.append((39, rows[7][1].rsplit(" ", 8)[0]))
+    docs = frame(spark, rows).withColumn("row_key", near_dup._row_key())
+    classes = docs.mapInArrow(near_dup._signatures, near_dup.MARKS).selectExpr("doc_id AS cls", "row_key", "n_shingles", "sketch", f"transform(sequence(0, {near_dup.BANDS - 1}), i -> if(i = 3, 7L, 1000 * doc_id + i)) AS bands")
+    members = classes.selectExpr("7L AS key", "cls")
+    roots = spark.createDataFrame([], "node long, root long")
+    for prune in (True, False):
+        got = near_dup._open_pairs(members, classes, roots, docs, prune).collect()
+        assert [(r.a, r.b) for r in got] == [(7, 39)]

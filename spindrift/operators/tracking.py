@@ -10,12 +10,13 @@ from spindrift.operators import geometry, windows
 ANGLES = ("roll", "pitch", "azimuth", "azimuth_planar", "back_pitch", "back_azimuth")
 
 
-def head_angles(body: geometry.Vector, head_x: geometry.Vector, head_z: geometry.Vector, up_limit: float | None = None) -> dict[str, Column]:
+def head_angles(body: geometry.Vector, head_x: geometry.Vector, head_z: geometry.Vector, up_limit: float | None = None, least: float = 0.001) -> dict[str, Column]:
     """Degrees by name: the head's roll, pitch and azimuth in the body's frame, its azimuth in the planar frame, and the back's angles.
 
     With ``up_limit`` roll and azimuth are null where the head's axis points further up or down.
+    Body vectors that aren't longer than ``least``, 1 mm of a tracked body, have no frame.
     """
-    frame, planar, head = geometry.body_frame(body), geometry.planar_frame(body), geometry.head_frame(head_x, head_z)
+    frame, planar, head = geometry.body_frame(body, least), geometry.planar_frame(body, least), geometry.head_frame(head_x, head_z)
     ego3, ego2 = geometry.euler_angles(geometry.relative(frame, head)), geometry.euler_angles(geometry.relative(planar, head))
     pitch, azimuth = geometry.back_angles(geometry.times(frame, head_x))
     roll3, azimuth3 = -ego3[0], ego3[2]

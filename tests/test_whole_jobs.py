@@ -20,6 +20,6 @@ def flat_vectors(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["rotations"])
+@pytest.mark.parametrize("name", ["rotations", "derived_tracking"])
 def test_short_vectors_have_angles(spark, flat_vectors, name):
     assert difference(catalogue.QUERIES[name](spark, flat_vectors), oracle(flat_vectors), catalogue.ORACLE_SQL[name]) is None

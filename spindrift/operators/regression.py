@@ -6,14 +6,17 @@ one shuffle of small counts. The fits run on these, however long the recording i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.batches import unit_batches
 from spindrift.functions.bins import md5_uniform
+from spindrift.operators.glm import fit_cells, on_grid, one_hot
 from spindrift.operators.resampling import signed_rank_exact_greater
 
 FOLDS, L1, ALPHA = 10, 1e-4, 0.01
@@ -46,10 +49,6 @@ def design_counts(frames: DataFrame, features: list[str], unit: str = "unit", y:
     return frames.dropna(subset=features).groupBy(unit, "fold", *features).agg(F.count("*").alias("n"), F.sum((F.col(y) > 0).cast("int")).alias("spikes"))
 
 
-def one_hot(bins: np.ndarray) -> np.ndarray:
-    return np.concatenate([(column[:, None] == np.unique(column)) for column in bins.T], axis=1).astype(float) if bins.size else np.zeros((len(bins), 0))
-
-
 def fit_logistic(x: np.ndarray, spikes: np.ndarray, n: np.ndarray, l1: float = L1, steps: int = 400) -> np.ndarray:
     """Coefficients (intercept first) of the mean Bernoulli log-likelihood less ``l1`` times their absolute sum.
 
@@ -77,128 +76,143 @@ def fit_logistic(x: np.ndarray, spikes: np.ndarray, n: np.ndarray, l1: float = L
     return beta
 
 
-def _fit_folds(z: np.ndarray, spikes: np.ndarray, n: np.ndarray, l1: float, steps: int = 400) -> np.ndarray:
-    """``fit_logistic`` for several folds at once: z (folds, rows, columns), spikes and n (folds, rows); a row of coefficients each."""
-    folds, rows, _ = z.shape
-    a = np.concatenate((np.ones((folds, rows, 1)), z), axis=2)
-    turned = a.transpose(0, 2, 1).copy()
-    total = n.sum(axis=1, keepdims=True)
-    beta = np.zeros((folds, a.shape[2]))
-    share = np.clip(spikes.sum(axis=1) / total[:, 0], 1e-6, 1 - 1e-6)
-    beta[:, 0] = np.log(share / (1 - share))
-    step = 4.0 / np.maximum(1e-12, np.linalg.eigvalsh(turned @ (a * n[:, :, None]) / total[:, :, None])[:, -1:])
-    ahead, t, last, going = beta.copy(), np.ones((folds, 1)), np.full((folds, 1), np.inf), np.ones((folds, 1), bool)
-    for _ in range(steps):
-        eta = (a @ ahead[:, :, None])[:, :, 0]
-        new = ahead - step * (turned @ (n * (0.5 + 0.5 * np.tanh(0.5 * eta)) - spikes)[:, :, None])[:, :, 0] / total
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        eta = (a @ new[:, :, None])[:, :, 0]
-        cost = (n * np.logaddexp(0, eta) - spikes * eta).sum(axis=1, keepdims=True) / total + l1 * np.abs(new).sum(axis=1, keepdims=True)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        better = cost <= last
-        ahead, t = np.where(better, new + (t - 1) / t_new * (new - beta), new), np.where(better, t_new, 1.0)
-        beta, done, last = np.where(going, new, beta), np.abs(last - cost) < 1e-10, cost
-        going &= ~done
-        if not going.any():
-            break
-    return beta
+#: What models are fitted on: cells (cells, features), and frames and spikes (units, folds, cells).
+Dense = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def dense_counts(features: list[str], folds: int = FOLDS) -> Callable[[np.ndarray, dict[str, np.ndarray]], Dense]:
+    """Lays a batch's counts (``design_counts``) out densely."""
 
+    def laid(units: np.ndarray, rows: dict[str, np.ndarray]) -> Dense:
+        cells, place = np.unique(np.column_stack([rows[f] for f in features]), axis=0, return_inverse=True)
+        shape, at = (units[-1] + 1, folds, len(cells)), (units, rows["fold"], place.ravel())
+        n, spikes = np.zeros(shape), np.zeros(shape)
+        np.add.at(n, at, rows["n"].astype(float))
+        np.add.at(spikes, at, rows["spikes"].astype(float))
+        return cells, n, spikes
 
-def fold_scores(counts: pd.DataFrame, features: list[str], l1: float = L1, folds: int = FOLDS) -> list[dict]:
-    """Held-out scores of each fold: the columns are standardised by the training part, constant ones count for nothing.
+    return laid
 
-    Rows of equal bins are one, with their counts by fold; all folds are fitted together.
+
+def folded_grid(grid: pd.DataFrame, features: list[str], folds: int = FOLDS, frame: str = "frame") -> Callable[[np.ndarray, dict[str, np.ndarray]], Dense]:
+    """The same from a batch's frames with a response (unit, frame, y): all frames of ``grid``, in the folds of ``assign_folds``."""
+    grid = grid.dropna(subset=features)
+    frames = grid[frame].to_numpy()
+    cells, cell = np.unique(grid[features].to_numpy(), axis=0, return_inverse=True)
+    cell = cell.ravel()
+
+    def laid(units: np.ndarray, found: dict[str, np.ndarray]) -> Dense:
+        fired = on_grid(units, found, frames, frame) > 0
+        nth = np.cumsum(fired, axis=1) - 1
+        seed = fired & (nth < folds)
+        rest, left = np.cumsum(~seed, axis=1) - 1, (~seed).sum(axis=1, keepdims=True)
+        size, more = left // (folds * folds), left % (folds * folds)
+        block = np.where(rest < more * (size + 1), rest // (size + 1), more + (rest - more * (size + 1)) // np.maximum(size, 1))
+        fold = np.where(seed, nth, block % folds)
+        shape = (len(fired), folds, len(cells))
+        key = ((np.arange(len(fired))[:, None] * folds + fold) * len(cells) + cell).ravel()
+        n, spikes = (np.bincount(key, w, minlength=shape[0] * shape[1] * shape[2]).reshape(shape).astype(float) for w in (None, fired.ravel().astype(float)))
+        return cells, n, spikes
+
+    return laid
+
+
+def model_scores(dense: Dense, used: list[int], l1: float = L1) -> dict[str, np.ndarray]:
+    """Held-out scores (units, folds) of the model of the features ``used``; NaN in folds that can't be fitted.
+
+    Columns are standardised by the training part, constant ones count for nothing. Units and
+    folds are fitted together on the model's own cells.
     """
-    cells, place = np.unique(counts[list(features)].to_numpy(), axis=0, return_inverse=True)
-    n, spikes = np.zeros((folds, len(cells))), np.zeros((folds, len(cells)))
-    at = counts["fold"].to_numpy(), place.ravel()
-    np.add.at(n, at, counts["n"].to_numpy(float))
-    np.add.at(spikes, at, counts["spikes"].to_numpy(float))
-    n_train, s_train = n.sum(axis=0) - n, spikes.sum(axis=0) - spikes
-    fit = np.flatnonzero((n.sum(axis=1) > 0) & (n_train.sum(axis=1) > 0) & (s_train.sum(axis=1) > 0) & (s_train.sum(axis=1) < n_train.sum(axis=1)))
-    if not len(fit):
-        return []
-    x, w = one_hot(cells), n_train[fit] / n_train[fit].sum(axis=1, keepdims=True)
-    mean = w @ x
-    spread = np.sqrt(np.maximum(w @ (x * x) - mean * mean, 0))
-    z = np.where(spread[:, None] > 1e-9, (x - mean[:, None]) / np.where(spread > 1e-9, spread, 1)[:, None], 0)
-    beta = _fit_folds(z, s_train[fit], n_train[fit], l1)
-    mus = np.clip(0.5 + 0.5 * np.tanh(0.5 * (beta[:, :1] + (z @ beta[:, 1:, None])[:, :, 0])), 1e-10, 1 - 1e-10)
-    found = []
-    for i, k in enumerate(fit.tolist()):
-        mu, s, m = mus[i], spikes[k], n[k]
-        base = np.clip(s_train[k].sum() / n_train[k].sum(), 1e-10, 1 - 1e-10)
-        one, none = (s * np.log(mu) + (m - s) * np.log(1 - mu)).sum(), s.sum() * np.log(base) + (m.sum() - s.sum()) * np.log(1 - base)
-        found.append(
-            {"fold": k, "n": int(m.sum()), "n_spikes": int(s.sum()), "deviance": -2 * one, "pseudo_r2": 1 - one / none if none else None, "llr": 2 * (one - none),
-             "accuracy": float(np.where(mu >= 0.5, s, m - s).sum() / m.sum()), "llr_per_spike": 2 * (one - none) / s.sum() if s.sum() else None}
-        )
+    cells, place = np.unique(dense[0][:, used], axis=0, return_inverse=True)
+    merge = (place.ravel()[:, None] == np.arange(len(cells))).astype(float)
+    n, spikes = dense[1] @ merge, dense[2] @ merge
+    n_train, s_train = n.sum(axis=1, keepdims=True) - n, spikes.sum(axis=1, keepdims=True) - spikes
+    all_n, all_s, frames, fired = (v.sum(axis=2) for v in (n_train, s_train, n, spikes))
+    ok = (frames > 0) & (all_n > 0) & (all_s > 0) & (all_s < all_n)
+    found = {"n": frames, "n_spikes": fired} | {c: np.full(ok.shape, np.nan) for c in ("deviance", "pseudo_r2", "llr", "accuracy", "llr_per_spike")}
+    if ok.any():
+        mu = np.clip(fit_cells(*one_hot(cells), n_train[ok], s_train[ok], "bernoulli", l1)[0], 1e-10, 1 - 1e-10)
+        s, m, base = spikes[ok], n[ok], np.clip(all_s[ok] / all_n[ok], 1e-10, 1 - 1e-10)
+        one = (s * np.log(mu) + (m - s) * np.log(1 - mu)).sum(axis=1)
+        none = fired[ok] * np.log(base) + (frames[ok] - fired[ok]) * np.log(1 - base)
+        found["deviance"][ok], found["llr"][ok] = -2 * one, 2 * (one - none)
+        found["pseudo_r2"][ok] = 1 - np.divide(one, none, out=np.full(len(one), np.nan), where=none != 0)
+        found["accuracy"][ok] = np.where(mu >= 0.5, s, m - s).sum(axis=1) / frames[ok]
+        found["llr_per_spike"][ok] = np.divide(2 * (one - none), fired[ok], out=np.full(len(one), np.nan), where=fired[ok] > 0)
     return found
 
 
 SCORES = "unit bigint, model string, fold int, n bigint, n_spikes bigint, deviance double, pseudo_r2 double, llr double, accuracy double, llr_per_spike double"
 
 
-def cross_validate(counts: DataFrame, models: list[tuple[str, ...]], features: list[str], l1: float = L1, folds: int = FOLDS) -> DataFrame:
-    """Fold scores of all ``models`` (tuples of features) for all units: one job, a task for each unit and model."""
-    spark = counts.sparkSession
-    names = spark.createDataFrame([("+".join(m),) for m in models], "model string")
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        used = key[1].split("+")
-        found = fold_scores(rows.groupby(["fold", *used], as_index=False)[["n", "spikes"]].sum(), used, l1, folds)
-        return pd.DataFrame([{"unit": key[0], "model": key[1]} | f for f in found], columns=[c.split()[0] for c in SCORES.split(", ")])
+def cross_validate(counts: DataFrame, models: list[tuple[str, ...]], features: list[str], l1: float = L1, folds: int = FOLDS, laid: Callable | None = None) -> DataFrame:
+    """Fold scores of all ``models`` (tuples of features) for all units; a batch's units are fitted together.
 
-    # a few models; counts are bounded by the bins. Small rows, long work: Spark must not merge the tasks
-    rows = counts.crossJoin(F.broadcast(names)).repartition(_tasks(spark), "unit", "model")
-    return rows.groupBy("unit", "model").applyInPandas(fit, SCORES)
+    With ``laid`` (``folded_grid``) ``counts`` are frames with a response, in no folds yet.
+    """
+    laid = laid or dense_counts(features, folds)
 
+    def work(units: np.ndarray, rows: dict[str, np.ndarray]) -> dict:
+        dense, parts = laid(units, rows), []
+        for model in models:
+            found = model_scores(dense, [features.index(f) for f in model], l1)
+            unit, fold = np.nonzero(~np.isnan(found["llr"]))
+            parts.append({"unit": unit, "model": np.full(len(unit), "+".join(model), object), "fold": fold} | {c: v[unit, fold] for c, v in found.items()})
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
-def _tasks(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return unit_batches(counts, work, SCORES)
 
 
-def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALPHA, exclusive: list[set[str]] | None = None, start: tuple[str, ...] = (), l1: float = L1, folds: int = FOLDS) -> DataFrame:
+def forward_selection(counts: DataFrame, features: list[str], alpha: float = ALPHA, exclusive: list[set[str]] | None = None, start: tuple[str, ...] = (), l1: float = L1, folds: int = FOLDS, laid: Callable | None = None) -> DataFrame:
     """(unit, layer, model, mean_score, p, chosen): each layer adds the covariate that improves a unit's model most.
 
-    A unit's counts are bounded by the bins, so one task does its whole selection; units are
-    selected side by side and nothing passes the driver. A candidate must beat the model before
+    A unit's counts are bounded by the bins, so one task does its whole selection; a batch's units
+    are fitted together and nothing passes the driver. A candidate must beat the model before
     it over the folds (signed-rank, one-sided, exact) at ``alpha`` and have the largest mean
     score, which must grow; ties take the first. ``exclusive`` names sets of which a model holds
     one member at most; ``start`` is a model that all units begin with, scored in layer 0.
+    ``laid`` as in ``cross_validate``.
     """
-
-    def select(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        def score(model: tuple[str, ...]) -> dict[int, float]:
-            small = rows.groupby(["fold", *model], as_index=False)[["n", "spikes"]].sum()
-            return {f["fold"]: f["llr_per_spike"] for f in fold_scores(small, list(model), l1, folds) if f["llr_per_spike"] is not None}
-
-        found, best, scores, mean = [], tuple(sorted(start)), {}, 0.0
-        if best:
-            scores = score(best)
-            mean = float(np.mean(list(scores.values()))) if scores else 0.0
-            found.append((key[0], 0, "+".join(best), mean if scores else None, None, True))
-        for layer in range(1, len(features) - len(best) + 1):
-            tried = []
-            for f in features:
-                if f in best or any(f in g and g & set(best) for g in exclusive or []):
-                    continue
-                model = tuple(sorted((*best, f)))
-                now = score(model)
-                p = signed_rank_exact_greater([v - scores.get(k, 0.0) for k, v in now.items() if not scores or k in scores])
-                tried.append((float(np.mean(list(now.values()))) if now else float("-inf"), p, model, now))
-            good = [x for x in tried if x[1] < alpha and x[0] > mean]
-            top = max(good, key=lambda x: x[0]) if good else None
-            found += [(key[0], layer, "+".join(m), x if np.isfinite(x) else None, p, top is not None and m == top[2]) for x, p, m, _ in tried]
-            if top is None:
-                break
-            mean, _, best, scores = top
-        return pd.DataFrame(found, columns=["unit", "layer", "model", "mean_score", "p", "chosen"])
-
-    return counts.repartition(_tasks(counts.sparkSession), "unit").groupBy("unit").applyInPandas(select, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean")
-
-
-def ablation(counts: DataFrame, final: list[str], **fit: float) -> DataFrame:
+    laid = laid or dense_counts(features, folds)
+    columns = ("unit", "layer", "model", "mean_score", "p", "chosen")
+
+    def work(units: np.ndarray, rows: dict[str, np.ndarray]) -> dict:
+        cells, n, spikes = laid(units, rows)
+
+        def scored(model: tuple[str, ...], which: list[int]) -> dict[int, dict[int, float]]:
+            found = model_scores((cells, n[which], spikes[which]), [features.index(f) for f in model], l1)["llr_per_spike"]
+            return {u: {k: v for k, v in enumerate(row.tolist()) if v == v} for u, row in zip(which, found, strict=True)}
+
+        average = lambda scores: float(np.mean(list(scores.values())))
+        first, running, found = tuple(sorted(start)), list(range(len(n))), []
+        best, scores, mean = dict.fromkeys(running, first), dict.fromkeys(running, {}), dict.fromkeys(running, 0.0)
+        if first:
+            scores |= scored(first, running)
+            mean |= {u: average(scores[u]) for u in running if scores[u]}
+            found += [(u, 0, "+".join(first), mean[u] if scores[u] else None, None, True) for u in running]
+        for layer in range(1, len(features) - len(first) + 1):
+            wanted = {u: [tuple(sorted((*best[u], f))) for f in features if f not in best[u] and not any(f in g and g & set(best[u]) for g in exclusive or [])] for u in running}
+            now = {model: scored(model, [u for u in running if model in wanted[u]]) for model in dict.fromkeys(m for u in running for m in wanted[u])}
+            on = []
+            for u in running:
+                tried = []
+                for model in wanted[u]:
+                    one = now[model][u]
+                    p = signed_rank_exact_greater([v - scores[u].get(k, 0.0) for k, v in one.items() if not scores[u] or k in scores[u]])
+                    tried.append((average(one) if one else float("-inf"), p, model, one))
+                good = [x for x in tried if x[1] < alpha and x[0] > mean[u]]
+                top = max(good, key=lambda x: x[0]) if good else None
+                found += [(u, layer, "+".join(m), x if np.isfinite(x) else None, p, top is not None and m == top[2]) for x, p, m, _ in tried]
+                if top is not None:
+                    mean[u], _, best[u], scores[u] = top
+                    on.append(u)
+            running = on
+        return dict(zip(columns, zip(*found, strict=True), strict=True)) if found else {c: [] for c in columns}
+
+    return unit_batches(counts, work, "unit bigint, layer int, model string, mean_score double, p double, chosen boolean")
+
+
+def ablation(counts: DataFrame, final: list[str], **fit: float | Callable) -> DataFrame:
     """Mean held-out scores of the final model and of each sub-model that lacks one covariate."""
     models = [tuple(final), *combinations(final, len(final) - 1)] if len(final) > 1 else [tuple(final)]
     scores = cross_validate(counts, models, final, **fit)

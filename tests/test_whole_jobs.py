@@ -40,6 +40,17 @@ def _on_all_frames(spark, rows):
     return grid.join(rows, ["unit", "frame"], "left").fillna(0, ["y"])
 
 
+def test_folds_in_tasks_are_those_of_assign_folds(spark):
+    rows = _rows_of_units(spark, 40).unionByName(spark.createDataFrame([(40, 900, 1)], "unit bigint, frame bigint, y int"))
+    models = [("a",), ("a", "b")]
+    found = {(r.unit, r.model, r.fold): r for r in regression.cross_validate(rows, models, ["a", "b"], laid=regression.folded_grid(GRID, ["a", "b"])).collect()}
+    counts = regression.design_counts(regression.assign_folds(_on_all_frames(spark, rows)), ["a", "b"])
+    wanted = {(r.unit, r.model, r.fold): r for r in regression.cross_validate(counts, models, ["a", "b"]).collect()}
+    assert set(found) == set(wanted) and len(found) == 40 * 2 * 10
+    assert all((r.n, r.n_spikes) == (wanted[key].n, wanted[key].n_spikes) for key, r in found.items())
+    assert max(abs(r.llr - wanted[key].llr) for key, r in found.items()) < 5e-4
+
+
 def test_held_out_scores_come_from_the_optimum(spark):
     """Accelerated steps that stopped at 1e-10 missed some folds' scores by half a unit of log-likelihood."""
     rng = np.random.default_rng(8)

@@ -40,6 +40,25 @@ def _on_all_frames(spark, rows):
     return grid.join(rows, ["unit", "frame"], "left").fillna(0, ["y"])
 
 
+def test_units_are_fitted_in_batches(spark):
+    """Batches hold whole units, whatever their number, and their fits reach the optimum of each unit's own fit."""
+    rows = _rows_of_units(spark, 600)
+    found = {(r.unit, r.family): r for r in glm.fit_units(rows, ["a", "b"], list(glm.FAMILIES), laid=glm.grid_rows(GRID, ["a", "b"])).collect()}
+    assert len(found) == 600 * 4 and {r.n for r in found.values()} == {720}
+    counted = {(r.unit, r.family): r for r in glm.fit_units(glm.design_rows(_on_all_frames(spark, rows.where("unit < 20")), ["a", "b"]), ["a", "b"], list(glm.FAMILIES)).collect()}
+    assert all(abs(found[key].loglik - r.loglik) < 1e-4 for key, r in counted.items()) and len(counted) == 80
+    x = glm.one_hot(GRID[["a", "b"]].to_numpy())[0]
+    fired = {(r.unit, r.frame): r.y for r in rows.collect()}
+    for unit in (0, 255, 256, 599):
+        y = np.array([fired.get((unit, f), 0) for f in range(720)], float)
+        for family in glm.FAMILIES:
+            own, one = (y > 0) * 1.0 if family == "bernoulli" else y, np.ones(720)
+            z = glm.standardised(x, one)
+            beta = glm.fit(z, own, one, family)
+            wanted = glm.log_likelihood(family, own, glm.mean_of(family, beta[0] + z @ beta[1:]), one)
+            assert abs(found[unit, family].loglik - wanted) < 0.002, (unit, family, found[unit, family].loglik, wanted)
+
+
 def test_folds_in_tasks_are_those_of_assign_folds(spark):
     rows = _rows_of_units(spark, 40).unionByName(spark.createDataFrame([(40, 900, 1)], "unit bigint, frame bigint, y int"))
     models = [("a",), ("a", "b")]

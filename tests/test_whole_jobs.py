@@ -59,6 +59,14 @@ def test_units_are_fitted_in_batches(spark):
             assert abs(found[unit, family].loglik - wanted) < 0.002, (unit, family, found[unit, family].loglik, wanted)
 
 
+def test_backward_scores_of_many_units(spark):
+    rows = _rows_of_units(spark, 300)
+    found = {(r.unit, r.left_out): r for r in glm.backward_scores(rows, ["a", "b"], laid=glm.grid_rows(GRID, ["a", "b"])).collect()}
+    counted = glm.backward_scores(glm.design_rows(_on_all_frames(spark, rows), ["a", "b"]), ["a", "b"]).collect()
+    assert len(found) == len(counted) == 900
+    assert all(abs(found[r.unit, r.left_out].loglik - r.loglik) < 1e-4 and found[r.unit, r.left_out].adjusted_r2 == pytest.approx(r.adjusted_r2, abs=1e-6) for r in counted)
+
+
 def test_folds_in_tasks_are_those_of_assign_folds(spark):
     rows = _rows_of_units(spark, 40).unionByName(spark.createDataFrame([(40, 900, 1)], "unit bigint, frame bigint, y int"))
     models = [("a",), ("a", "b")]

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from compare import difference, oracle
+from pyspark.sql import functions as F
 
-from spindrift.operators import glm, regression
+from spindrift.functions.bins import rounded
+from spindrift.operators import glm, pairs, regression
 from spindrift.plans import catalogue
 
 
@@ -95,3 +97,32 @@ def test_held_out_scores_come_from_the_optimum(spark):
         held = dense[2][0, k]
         wanted = 2 * (held * np.log(mu / base) + (n[0, k] - held) * np.log((1 - mu) / (1 - base))).sum()
         assert abs(found["llr"][0, k] - wanted) < 5e-4
+
+
+@pytest.mark.parametrize("stretch, counted, share", [(8, 16, 0.02), (8, 1 << 20, 0.9), (64, 5, 0.2)])
+def test_sparse_and_dense_trains_have_the_same_counts(stretch, counted, share, monkeypatch):
+    monkeypatch.setattr(pairs, "STRETCH_BINS", stretch)
+    monkeypatch.setattr(pairs, "COUNTED", counted)
+    rng = np.random.default_rng(3)
+    one, two = (rng.random((n, 100)) < share for n in (4, 3))
+    sides = [(place[order := np.argsort(at, kind="stable")], at[order]) for place, at in (side.nonzero() for side in (one, two))]
+    found = pairs._coincidences(*sides, 4, 3, 5)
+    for lag in range(-5, 6):
+        wanted = [[sum(one[a, b + lag] and two[c, b] for b in range(100) if 0 <= b + lag < 100) for c in range(3)] for a in range(4)]
+        assert (found[:, :, lag + 5] == wanted).all()
+
+
+def test_blocks_are_bounded_by_entries_too(spark, monkeypatch):
+    """Five blocks of few entries instead of one of few units, and names in place of numbers."""
+    trains = {f"u{u}": list(range(u % 3, 40, 2 + u)) for u in range(5)}
+    bins = spark.createDataFrame([(u, b) for u, t in trains.items() for b in t], "unit string, bin long")
+    whole = sorted(map(tuple, pairs.correlogram(bins, 2).collect()))
+    monkeypatch.setattr(pairs, "BLOCK_ENTRIES", 10)
+    assert sorted(map(tuple, pairs.correlogram(bins, 2).collect())) == whole and len(whole) == 50
+
+
+@pytest.mark.parametrize("name", ["cch_counts"])
+def test_pairs_are_never_shuffled(spark, sf_dir, name):
+    """No counts of pairs, and no copies of units for the blocks that they meet, are dealt out by keys."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "mapInArrow" in plan.replace("MapInArrow", "mapInArrow") and "hashpartitioning" not in plan

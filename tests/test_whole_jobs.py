@@ -121,7 +121,7 @@ def test_blocks_are_bounded_by_entries_too(spark, monkeypatch):
     assert sorted(map(tuple, pairs.correlogram(bins, 2).collect())) == whole and len(whole) == 50
 
 
-@pytest.mark.parametrize("name", ["cch_counts", "cch_baseline_p"])
+@pytest.mark.parametrize("name", ["cch_counts", "cch_baseline_p", "connection_class"])
 def test_pairs_are_never_shuffled(spark, sf_dir, name):
     """No counts of pairs, and no copies of units for the blocks that they meet, are dealt out by keys."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

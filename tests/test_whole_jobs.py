@@ -121,8 +121,14 @@ def test_blocks_are_bounded_by_entries_too(spark, monkeypatch):
     assert sorted(map(tuple, pairs.correlogram(bins, 2).collect())) == whole and len(whole) == 50
 
 
-@pytest.mark.parametrize("name", ["cch_counts", "cch_baseline_p", "connection_class"])
+@pytest.mark.parametrize("name", ["cch_counts", "cch_baseline_p", "connection_class", "corr_matrix"])
 def test_pairs_are_never_shuffled(spark, sf_dir, name):
     """No counts of pairs, and no copies of units for the blocks that they meet, are dealt out by keys."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "mapInArrow" in plan.replace("MapInArrow", "mapInArrow") and "hashpartitioning" not in plan
+
+
+def test_rounding_by_whole_numbers(spark):
+    values = [0.1234565, -0.1234565, 0.9999995, -1.0, 1e-9, -1e-9, 0.5, 123456.7891235, None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", rounded(F.col("x"), 6).alias("y"), F.round("x", 6).alias("z")).collect()
+    assert all(r.y is None if r.x is None else abs(r.y - r.z) < 1.5e-6 and abs(r.y - r.x) < 5.1e-7 and str(r.y) != "-0.0" for r in rows)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.functions.bins import ratio, wrapped
 
@@ -72,6 +75,58 @@ def peth(counts: DataFrame, onsets: DataFrame, first: int, last: int, step: int
     return bins.select(*keys, "onset", "rel").join(found, [*keys, "onset", "rel"], "left")
 
 
+#: Events and onsets that a stretch of time holds on average, and onsets looked at together.
+STRETCH_ROWS, ONSETS_AT_ONCE = 250_000, 4096
+
+
+def raster_counts(events: DataFrame, onsets: DataFrame, bin_us: int, bins: int) -> DataFrame:
+    """rel, n, onsets: events (us) by whole bins from onsets (onset_id, us), -bins..bins - 1, and the different onsets that have any.
+
+    No pair of event and onset is made. Time is cut into stretches; a task has the onsets of one
+    and the events in their reach, sorted, and a bin's events are those before its end less those
+    before its begin. Repeated onset ids, if any, are counted by their own.
+    """
+    reach = bins * bin_us
+    extent = events.select("us").unionByName(onsets.select("us")).agg(F.count("us").alias("n"), F.min("us").alias("low"), F.max("us").alias("high")).head()
+    width = reach if not extent["n"] else max(bin_us, min(2 * reach, (extent["high"] - extent["low"] + 1) * STRETCH_ROWS // extent["n"]))
+    repeated = onsets.where("onset_id IS NOT NULL").groupBy("onset_id").agg(F.count("*").alias("m")).where("m > 1").select("onset_id", F.lit(True).alias("again"))
+    marked = onsets.where("us IS NOT NULL").join(repeated, "onset_id", "left")
+    again = F.coalesce("again", F.lit(False))
+    # an onset counts for n always, for the different onsets once; ids that come again are listed
+    points = marked.select(F.floor(F.col("us") / width).alias("stretch"), "us", F.lit(True).alias("onset"), F.when(again, F.col("onset_id")).alias("id"), (F.col("onset_id").isNotNull() & ~again).alias("single"))
+    near = F.sequence(F.floor((F.col("us") - reach) / width), F.floor((F.col("us") + reach) / width))
+    found = events.where("us IS NOT NULL").select(F.explode(near).alias("stretch"), "us", F.lit(False).alias("onset"), F.lit(None).cast(onsets.schema["onset_id"].dataType).alias("id"), F.lit(False).alias("single"))
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        us, onset, single = (table[c].to_numpy() for c in ("us", "onset", "single"))
+        at, ids = np.sort(us[~onset]), table["id"].filter(pa.array(onset)).combine_chunks()
+        order = np.argsort(us[onset], kind="stable")
+        starts, single, ids = us[onset][order], single[onset][order], ids.take(pa.array(order))
+        n, seen, listed, rels = np.zeros(2 * bins, np.int64), np.zeros(2 * bins, np.int64), [], []
+        some = ids.is_valid().to_numpy(zero_copy_only=False)
+        for a in range(0, len(starts), ONSETS_AT_ONCE):
+            part = slice(a, a + ONSETS_AT_ONCE)
+            before = np.searchsorted(at, starts[part] - reach)
+            for k in range(2 * bins):
+                until = np.searchsorted(at, starts[part] + (k + 1 - bins) * bin_us)
+                here, before = until - before, until
+                n[k] += here.sum()
+                seen[k] += (single[part] & (here > 0)).sum()
+                if some[part].any():
+                    which = np.flatnonzero((here > 0) & some[part]) + a
+                    listed.append(which)
+                    rels.append(np.full(len(which), k))
+        which, of = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (listed, rels))
+        rel = pa.array(np.concatenate((np.arange(2 * bins), of)) - bins, pa.int32())
+        none = np.zeros(len(which), np.int64)
+        return pa.table({"rel": rel, "n": pa.array(np.concatenate((n, none))), "seen": pa.array(np.concatenate((seen, none))), "id": pa.concat_arrays([pa.nulls(2 * bins, ids.type), ids.take(pa.array(which))])})
+
+    kinds = T.StructType([T.StructField("rel", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("id", onsets.schema["onset_id"].dataType)])
+    counted = points.unionByName(found).groupBy("stretch").applyInArrow(count, kinds)
+    once = counted.groupBy("rel", "id").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return once.groupBy("rel").agg(F.sum("n").alias("n"), (F.sum("seen") + F.count("id")).alias("onsets")).where("n > 0")
+
+
 def mean_and_sem(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), ratio(F.stddev_samp(value), F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 

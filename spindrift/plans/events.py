@@ -133,10 +133,8 @@ def peth_discontinuous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events within an hour of a signup, before or after, as counts by whole minutes from it."""
     rows = spikes(spark, sf_dir, "event_id", "event_type")
-    onsets = rows.where("event_type = 'signup'").select(F.col("event_id").alias("onset_id"), (F.col("us") - HOUR).alias("lo"), (F.col("us") + HOUR).alias("hi"), F.col("us").alias("onset_us"))
-    met = joins.range_join(rows.where("event_type <> 'signup'").select("event_id", "us"), onsets, "us", "lo", "hi", 2 * HOUR)
-    minute = F.floor((F.col("us") - F.col("onset_us")) / 60e6).cast("int")
-    return met.groupBy(minute.alias("minute")).agg(F.count("*").alias("n"), F.countDistinct("onset_id").alias("onsets"))
+    onsets = rows.where("event_type = 'signup'").select(F.col("event_id").alias("onset_id"), "us")
+    return windows.raster_counts(rows.where("event_type <> 'signup'").select("us"), onsets, 60_000_000, 60).withColumnRenamed("rel", "minute")
 
 
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from compare import difference, oracle
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import rounded
-from spindrift.operators import glm, joins, pairs, regression
+from spindrift.operators import glm, joins, pairs, regression, windows
 from spindrift.plans import catalogue
 from spindrift.plans import pairs as pair_plans
 
@@ -143,3 +143,21 @@ def test_keys_of_negative_units_and_blocks_of_units(spark, monkeypatch):
     rows = spark.createDataFrame([(u,) for u in units], "unit bigint")
     assert sorted(map(tuple, pair_plans.keyed_pairs(rows).collect())) == wanted
     assert sorted(map(tuple, pair_plans.keyed_pairs(rows, 9, 33).collect())) == wanted[8:33]
+
+
+def test_rasters_of_repeated_onsets(spark, monkeypatch):
+    """Many stretches of time; onsets at one instant, ids that come again and ids that are missing."""
+    monkeypatch.setattr(windows, "STRETCH_ROWS", 3)
+    monkeypatch.setattr(windows, "ONSETS_AT_ONCE", 2)
+    rng = np.random.default_rng(6)
+    events = [*rng.integers(-300, 3000, 80).tolist(), 100, 100, 90, 110, 109, None]
+    onsets = [(int(i), int(us)) for i, us in enumerate(rng.integers(0, 2500, 30))] + [(2, 100), (2, 105), (3, 2400), (None, 100), (50, 100), (51, None)]
+    found = windows.raster_counts(spark.createDataFrame([(e,) for e in events], "us bigint"), spark.createDataFrame(onsets, "onset_id bigint, us bigint"), 10, 5)
+    met = [((e - us) // 10, i) for e in events if e is not None for i, us in onsets if us is not None and us - 50 <= e < us + 50]
+    assert sorted(map(tuple, found.collect())) == sorted((k, sum(r == k for r, _ in met), len({i for r, i in met if r == k and i is not None})) for k in {r for r, _ in met})
+    assert windows.raster_counts(spark.createDataFrame([], "us bigint"), spark.createDataFrame(onsets, "onset_id bigint, us bigint"), 10, 5).count() == 0
+
+
+def test_a_raster_makes_no_pairs(spark, sf_dir):
+    plan = catalogue.QUERIES["raster_interval_join"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" not in plan and "FlatMapGroupsInArrow" in plan

@@ -35,7 +35,7 @@ def _spikes(spark: SparkSession, sf_dir: str, files: DataFrame, unit: str) -> Da
 def snippet_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean waveform of each unit on its channel and one on each side, over at most 1,000 drawn spikes."""
     files = _recording(spark, sf_dir)
-    found = snippets.mean_snippets(snippets.snippets(_spikes(spark, sf_dir, files, "unit"), files, CHANNELS, around=1), 0.5)
+    found = snippets.drawn_means(_spikes(spark, sf_dir, files, "unit"), files, CHANNELS, around=1, scale=0.5)
     return found.select("unit", "channel", F.col("at").alias("rel"), "n", F.round("mean", 6).alias("mean"))
 
 

@@ -88,6 +88,37 @@ def recording_files(spark: SparkSession, path: str, channels: int, session: Colu
     return whole.select("session", "path", earlier.alias("first"), "samples")
 
 
+def read_runs(paths: list[str], starts: list[int], lengths: list[int], widths: list[int], channels: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Runs of near pieces, in order of path and start, read at once: first piece, end, the first sample read, samples by channels.
+
+    ``widths`` are the channels wanted of each piece: what a run holds is bounded by ``READ_BYTES`` (or one piece).
+    """
+    size = 2 * channels
+    open_path, file, i = None, None, 0
+    try:
+        while i < len(paths):
+            low, high, k, held = starts[i], starts[i] + lengths[i], i + 1, lengths[i] * widths[i] * 2
+            while k < len(paths) and k - i < READ_PIECES and paths[k] == paths[i] and starts[k] * size <= high * size + GAP_BYTES:
+                end, more = max(high, starts[k] + lengths[k]), lengths[k] * widths[k] * 2
+                if (end - low) * size > READ_BYTES or held + more > READ_BYTES:
+                    break
+                high, held, k = end, held + more, k + 1
+            if paths[i] != open_path:
+                if file is not None:
+                    file.close()
+                system, at = fs.FileSystem.from_uri(paths[i])
+                open_path, file = paths[i], system.open_input_file(at)
+            file.seek(low * size)
+            data = np.frombuffer(file.read((high - low) * size), "<i2").reshape(-1, channels)
+            if len(data) < high - low:
+                raise ValueError(f"{open_path} ends before sample {high}")
+            yield i, k, low, data
+            i = k
+    finally:
+        if file is not None:
+            file.close()
+
+
 def ranges_read(pieces: DataFrame, channels: int) -> DataFrame:
     """Pieces of recordings: (..., path, start, n, wanted) with ``values`` (channels of ``wanted`` one after another, n each).
 
@@ -95,37 +126,16 @@ def ranges_read(pieces: DataFrame, channels: int) -> DataFrame:
     start, so those of one task lie side by side; near ones are read at once, others skipped.
     No more than ``READ_BYTES`` (or one piece) are held, however many pieces there are.
     """
-    size = 2 * channels
     names = pieces.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_path, file = None, None
         for batch in batches:
             paths, starts, lengths, wanted = (batch.column(c).to_pylist() for c in ("path", "start", "n", "wanted"))
-            i = 0
-            while i < len(paths):
-                low, high, k, held = starts[i], starts[i] + lengths[i], i + 1, lengths[i] * len(wanted[i]) * 2
-                while k < len(paths) and k - i < READ_PIECES and paths[k] == paths[i] and starts[k] * size <= high * size + GAP_BYTES:
-                    end, more = max(high, starts[k] + lengths[k]), lengths[k] * len(wanted[k]) * 2
-                    if (end - low) * size > READ_BYTES or held + more > READ_BYTES:
-                        break
-                    high, held, k = end, held + more, k + 1
-                if paths[i] != open_path:
-                    if file is not None:
-                        file.close()
-                    system, at = fs.FileSystem.from_uri(paths[i])
-                    open_path, file = paths[i], system.open_input_file(at)
-                file.seek(low * size)
-                data = np.frombuffer(file.read((high - low) * size), "<i2").reshape(-1, channels)
-                if len(data) < high - low:
-                    raise ValueError(f"{open_path} ends before sample {high}")
+            for i, k, low, data in read_runs(paths, starts, lengths, [len(w) for w in wanted], channels):
                 found = [data[s - low : s - low + n, w].T.ravel() for s, n, w in zip(starts[i:k], lengths[i:k], wanted[i:k], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, k - i).columns, values], names=[*names, "values"])
-                i = k
-        if file is not None:
-            file.close()
 
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes)
     session = pieces.sparkSession

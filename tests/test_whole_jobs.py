@@ -9,9 +9,10 @@ from compare import difference, oracle
 from pyspark.sql import functions as F
 
 from spindrift.functions.bins import rounded
-from spindrift.operators import glm, joins, pairs, regression, windows
+from spindrift.operators import glm, joins, pairs, regression, snippets, windows
 from spindrift.plans import catalogue
 from spindrift.plans import pairs as pair_plans
+from spindrift.sources import arrays
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +162,21 @@ def test_rasters_of_repeated_onsets(spark, monkeypatch):
 def test_a_raster_makes_no_pairs(spark, sf_dir):
     plan = catalogue.QUERIES["raster_interval_join"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "bucket" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("sums, pieces", [(8_192, 10_000), (4, 7)])
+def test_drawn_means_are_those_of_the_snippets(spark, tmp_path, monkeypatch, sums, pieces):
+    """Files and stretches that cut windows, units on several channels, and sums and pieces that don't fit at once."""
+    monkeypatch.setattr(snippets, "SUMS", sums)
+    monkeypatch.setattr(snippets, "PIECES", pieces)
+    monkeypatch.setattr(snippets, "STRETCH", 97)
+    rng = np.random.default_rng(9)
+    rows = [(s, rng.integers(-900, 900, 6).tolist()) for s in range(700)]
+    files = arrays.write_recording(spark.createDataFrame(rows, "sample bigint, values array<int>"), str(tmp_path / "recording"), 150)
+    fired = [(0, f"u{int(u)}", int(s), int(c)) for u, s, c in zip(rng.integers(0, 30, 400), rng.integers(0, 700, 400), rng.integers(0, 6, 400), strict=True)]
+    fired = list({(r[1], r[2]): r for r in fired}.values()) + [(1, "u1", 100, 0), (0, None, 300, 2)]
+    spikes = spark.createDataFrame(fired, "session int, unit string, sample bigint, channel int")
+    found, wanted = snippets.drawn_means(spikes, files, 6, picks=8, scale=0.5), snippets.mean_snippets(snippets.snippets(spikes, files, 6, picks=8), 0.5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.count() > 82 * 30
+    assert "values" not in found._jdf.queryExecution().executedPlan().toString()
+    assert snippets.drawn_means(spikes.limit(0), files, 6).count() == 0
